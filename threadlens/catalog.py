@@ -279,3 +279,19 @@ def q_topic_coverage(spark, d):
     return compare.topic_coverage(
         {"main_model": FX.doc_topic(spark, d), "other_model": FX.doc_topic(spark, d, even_only=True)},
         FX.articles(spark, d))
+
+
+# ---- topic terms -----------------------------------------------------------
+
+@query
+def q_ctfidf_terms(spark, d):
+    from threadlens.operators.terms import ctfidf_terms
+
+    return ctfidf_terms(FX.doc_topic(spark, d))
+
+
+@query
+def q_topic_info(spark, d):
+    from threadlens.operators.terms import topic_info
+
+    return topic_info(FX.doc_topic(spark, d))

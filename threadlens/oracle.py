@@ -182,3 +182,26 @@ _q("topic_coverage", ["doc_topic", "doc_topic_even", "articles"], """
 SELECT 'main_model' AS model, count(*) AS n_articles_with_topic FROM articles a JOIN doc_topic t ON t.Document_description = a.description
 UNION ALL
 SELECT 'other_model', count(*) FROM articles a JOIN doc_topic_even t ON t.Document_description = a.description""")
+
+# ---- topic terms -------------------------------------------------------------
+
+CTFIDF = [
+    r"""toks AS (SELECT Topic, unnest(string_split_regex(lower(Document_description), '[^\p{L}\p{N}]+')) AS term
+  FROM doc_topic)""",
+    "tf AS (SELECT Topic, term, count(*) AS tf FROM toks WHERE length(term) >= 2 GROUP BY Topic, term)",
+    "tt AS (SELECT Topic, sum(tf) AS n_topic FROM tf GROUP BY Topic)",
+    "tt2 AS (SELECT Topic, n_topic, floor(avg(n_topic) OVER ()) AS avg_tokens FROM tt)",
+    "wt AS (SELECT term, sum(tf) AS n_term FROM tf GROUP BY term)",
+    """weights AS (SELECT tf.Topic, tf.term,
+  round((CAST(tf.tf AS DOUBLE) / tt2.n_topic) * ln(1 + CAST(tt2.avg_tokens AS DOUBLE) / wt.n_term), 6) AS weight
+  FROM tf JOIN tt2 USING (Topic) JOIN wt USING (term))""",
+    """ranked_terms AS (SELECT Topic, term, weight,
+  CAST(row_number() OVER (PARTITION BY Topic ORDER BY weight DESC, term) AS INTEGER) AS "rank" FROM weights)""",
+]
+_q("ctfidf_terms", ["doc_topic"], 'SELECT * FROM ranked_terms WHERE "rank" <= 10', CTFIDF)
+_q("topic_info", ["doc_topic"], """
+SELECT c.Topic, c.Count, CAST(c.Topic AS VARCHAR) || '_' || COALESCE(n.words, '') AS Name
+FROM (SELECT Topic, count(*) AS Count FROM doc_topic GROUP BY Topic) c
+LEFT JOIN (SELECT Topic, string_agg(term, '_' ORDER BY "rank") AS words FROM ranked_terms WHERE "rank" <= 4 GROUP BY Topic) n
+  USING (Topic)
+WHERE c.Count > 0 AND c.Topic <> -1""", CTFIDF)

@@ -42,3 +42,18 @@ def read_topic_sheets(spark: SparkSession, path: str, schema: StructType | None
         fields = [f for f in schema.fields if f.name != "sheet_name"]
         reader = reader.schema(StructType(fields + [StructField("sheet_name", StringType(), True)]))
     return reader.parquet(path)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    For an intermediate result that several branches of a job read: the
+    branches scan the written table (with column pruning) instead of each
+    recomputing its joins, and the lineage is cut, so a lost executor costs a
+    re-read rather than a recomputation."""
+    from threadlens.session import scratch_path
+
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
