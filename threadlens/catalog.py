@@ -295,3 +295,38 @@ def q_topic_info(spark, d):
     from threadlens.operators.terms import topic_info
 
     return topic_info(FX.doc_topic(spark, d))
+
+
+# ---- neighbours and density clusters ----------------------------------------
+
+DENSITY_EPS = 1.18          # density level of the fixed-eps cluster query
+MIN_SAMPLES = 5             # neighbours for the core distance
+MIN_CLUSTER_SIZE = 5        # smallest cluster
+DIST_DIGITS = 6
+
+
+def _points(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+
+
+@query
+def q_knn(spark, d):
+    from threadlens.operators.neighbors import knn
+
+    nn = knn(_points(spark, d), MIN_SAMPLES)
+    return nn.select("id", "neighbor_id", F.round("distance", DIST_DIGITS).alias("distance"), "rank")
+
+
+@query
+def q_core_distance(spark, d):
+    from threadlens.operators.neighbors import core_distance
+
+    core = core_distance(_points(spark, d), MIN_SAMPLES)
+    return core.select("id", F.round("core", DIST_DIGITS).alias("core"))
+
+
+@query
+def q_density_clusters(spark, d):
+    from threadlens.operators.density import density_clusters
+
+    return density_clusters(_points(spark, d), DENSITY_EPS, MIN_SAMPLES, MIN_CLUSTER_SIZE)

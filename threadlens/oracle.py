@@ -205,3 +205,25 @@ FROM (SELECT Topic, count(*) AS Count FROM doc_topic GROUP BY Topic) c
 LEFT JOIN (SELECT Topic, string_agg(term, '_' ORDER BY "rank") AS words FROM ranked_terms WHERE "rank" <= 4 GROUP BY Topic) n
   USING (Topic)
 WHERE c.Count > 0 AND c.Topic <> -1""", CTFIDF)
+
+# ---- neighbours and density clusters --------------------------------------------
+
+PAIRS = """pts AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
+dists AS (SELECT a.id, b.id AS neighbor_id, list_distance(a.vec, b.vec) AS distance
+          FROM pts a JOIN pts b ON a.id <> b.id),
+nn AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY distance, neighbor_id) AS INTEGER) AS "rank"
+       FROM dists)"""
+ORACLE["knn"] = f"""WITH {PAIRS}
+SELECT id, neighbor_id, round(distance, 6) AS distance, "rank" FROM nn WHERE "rank" <= 5"""
+ORACLE["core_distance"] = f"""WITH {PAIRS}
+SELECT id, round(distance, 6) AS core FROM nn WHERE "rank" = 5"""
+ORACLE["density_clusters"] = f"""WITH RECURSIVE {PAIRS},
+core_pts AS (SELECT id FROM nn WHERE "rank" = 5 AND distance <= 1.18),
+links AS (SELECT d.id AS a, d.neighbor_id AS b FROM dists d
+          JOIN core_pts c1 ON d.id = c1.id JOIN core_pts c2 ON d.neighbor_id = c2.id
+          WHERE d.distance <= 1.18),
+reach(a, b) AS (SELECT id, id FROM core_pts UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+comp AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a),
+sizes AS (SELECT component, count(*) AS n FROM comp GROUP BY component)
+SELECT p.id, CAST(CASE WHEN s.n >= 5 THEN c.component ELSE -1 END AS BIGINT) AS cluster
+FROM pts p LEFT JOIN comp c ON p.id = c.id LEFT JOIN sizes s ON c.component = s.component"""
