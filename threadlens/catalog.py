@@ -330,3 +330,52 @@ def q_density_clusters(spark, d):
     from threadlens.operators.density import density_clusters
 
     return density_clusters(_points(spark, d), DENSITY_EPS, MIN_SAMPLES, MIN_CLUSTER_SIZE)
+
+
+# ---- features and topic model -----------------------------------------------
+
+@query
+def q_join_embeddings(spark, d):
+    from threadlens.operators.features import join_embeddings
+
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    return join_embeddings(docs, table(spark, d, "embeddings"))
+
+
+@query
+def q_embed_documents(spark, d):
+    """F1 with the default batch embedder over whole document texts."""
+    from threadlens.operators.features import embed
+
+    return embed(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "embedding")
+
+
+@query
+def q_topic_reduce(spark, d):
+    """M8 on the given doc_topic: merge to at most six topics besides -1."""
+    from threadlens.plans.topics import N_TOPICS, topic_reduce
+
+    return topic_reduce(FX.doc_topic(spark, d), N_TOPICS)
+
+
+@query
+def q_topic_model(spark, d):
+    """Engaged descriptions → TF-IDF → k-means (6 topics)."""
+    from threadlens.plans.topics import topic_model
+
+    c, r, a, _ = _inputs(spark, d)
+    doc_topic, _ = topic_model(E.engaged_descriptions(c, r, a), "description", clusterer="kmeans")
+    return doc_topic
+
+
+@query
+def q_topic_model_embeddings(spark, d):
+    """M2: documents with supplied embeddings → density clusters with the
+    outlier topic kept → at most 10 topics."""
+    from threadlens.operators.features import join_embeddings
+    from threadlens.plans.topics import topic_model
+
+    docs = join_embeddings(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "embeddings"))
+    doc_topic, _ = topic_model(docs, "text", n_topics=10, clusterer="density", features="embedding",
+                               keep_outliers=True)
+    return doc_topic

@@ -227,3 +227,5 @@ comp AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a),
 sizes AS (SELECT component, count(*) AS n FROM comp GROUP BY component)
 SELECT p.id, CAST(CASE WHEN s.n >= 5 THEN c.component ELSE -1 END AS BIGINT) AS cluster
 FROM pts p LEFT JOIN comp c ON p.id = c.id LEFT JOIN sizes s ON c.component = s.component"""
+ORACLE["join_embeddings"] = """SELECT d.doc_id, d.lang, e.embedding, e.label
+FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id"""
