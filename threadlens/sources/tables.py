@@ -31,8 +31,16 @@ DOC_TOPIC_SCHEMA = T.StructType([
 ])
 
 
+_RELATIONS: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One given table; lazy, so column pruning and filters reach the scan."""
+    """One given table; lazy, so column pruning and filters reach the scan.
+    The relation (file listing and schema) is resolved once per session."""
     if name not in GIVEN_TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    if key not in _RELATIONS:
+        _RELATIONS[key] = spark.read.parquet(path)
+    return _RELATIONS[key]

@@ -23,7 +23,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "NULL"
-        return repr(round(v, 6) + 0.0)
+        return repr(v + 0.0)  # strict: no rounding beyond what the queries do
     if isinstance(v, (list, tuple)):
         return "[" + ",".join(_norm(x) for x in v) + "]"
     if hasattr(v, "tolist"):
