@@ -1,0 +1,66 @@
+"""Job-level behaviour on hand-made inputs: the report and user engagement."""
+
+from pyspark.sql import functions as F
+
+from threadlens.plans import engagement as E, report as R, users as U
+from threadlens.sources.tables import ARTICLE_COLS, COMMENT_COLS, HISTORY_COLS, REACTION_COLS
+
+
+def _frames(spark):
+    comments = spark.createDataFrame([
+        ("c1", "m1", "u1", "2024-01-01", "hi", "ok"),
+        ("c1", "m2", "u2", "2024-01-02", "yo", "blocked"),
+        ("c1", "m3", "u3", "2024-01-03", "hey", "missing"),
+        ("c2", "m4", "u1", "2024-01-04", "x", "ok"),
+        ("missing", "m5", "u9", "2024-01-05", "y", "ok"),
+    ], ", ".join(f"{c} string" for c in COMMENT_COLS))
+    reactions = spark.createDataFrame([
+        ("m1", "10.5", "2.5"), ("m2", "1", "9"), ("m3", "missing", "3.5"),
+        ("m4", "2", "missing"), ("m5", "1", "1"), ("m7", "1", "1"),
+    ], ", ".join(f"{c} string" for c in REACTION_COLS))
+    articles = spark.createDataFrame([
+        ("t1", "missing", "desc one", "u", "c1", "missing"),
+        ("t2", "missing", "desc two", "u", "c2", "missing"),
+        ("t9", "missing", "desc nine", "u", "missing", "missing"),
+    ], ", ".join(f"{c} string" for c in ARTICLE_COLS))
+    doc_topic = spark.createDataFrame([(0, "desc one"), (-1, "desc two"), (1, "desc nine")],
+                                      "Topic int, Document_description string")
+    return comments, reactions, articles, doc_topic
+
+
+def test_compile_inner_equals_outer_form(spark):
+    c, r, a, t = _frames(spark)
+    inner = sorted(tuple(x) for x in E.compile_engagement(c, r, a, t).collect())
+    outer = sorted(tuple(x) for x in E.compile_engagement_outer(c, r, a, t).collect())
+    assert inner == outer
+    # m2 is blocked, c2's topic is -1; 'missing' conversation joins the 'missing' article
+    assert {row[8] for row in inner} == {"m1", "m3", "m5"}
+    likes = {row[8]: row[14] for row in inner}
+    assert likes == {"m1": 2, "m3": 4, "m5": 1}   # half-even: 2.5 → 2, 3.5 → 4
+
+
+def test_engaged_descriptions(spark):
+    c, r, a, _ = _frames(spark)
+    got = {x[0] for x in E.engaged_descriptions(c, r, a).collect()}
+    assert got == {"desc one", "desc two", "desc nine"}
+
+
+def test_report_short_article_padded(spark):
+    c, r, a, t = _frames(spark)
+    wide = R.hec_wide(R.top_comments(E.compile_engagement(c, r, a, t), reuse_input=False)).collect()
+    by_conv = {w.conversation_id: w for w in wide}
+    assert by_conv["c1"].HEC1_conv_message_id == "m1" and by_conv["c1"].HEC2_conv_message_id == "m3"
+    assert by_conv["c1"].HEC3_conv_message_id is None
+
+
+def test_top_topic_per_user(spark):
+    history = spark.createDataFrame([
+        ("u1", "a", "1"), ("u1", "a", "2"), ("u1", "b", "3"), ("u1", "b", "4"), ("u1", "z", "5"),
+        ("u1", "z", "6"), ("u1", "z", "7"), ("u2", "q", "8"),
+    ], ", ".join(f"{c} string" for c in HISTORY_COLS))
+    report = spark.createDataFrame([("a", 3), ("b", 1), ("b", 2)], "conversation_id string, Topic int")
+    got = {r.user_id: tuple(r) for r in U.top_topic_per_user(history, report).collect()}
+    # z has most comments but no topic; a and b tie on count, a wins by id; rank stays 2
+    assert got["u1"] == ("u1", "a", 2, 2, 3)
+    assert got["u2"] == ("u2", None, None, None, None)
+    assert {r.conversation_id: r.topic for r in U.convo_topic_map(report).collect()} == {"a": 3, "b": 2}
