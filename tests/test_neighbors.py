@@ -83,3 +83,16 @@ def test_density_clusters_recover_planted(spark):
     assert len({labels[c * 30] for c in range(4)}) == 4
     noise = [labels[i] for i in range(120, 135)]
     assert sum(1 for x in noise if x == -1) >= 12
+
+
+def test_density_hierarchy_recovers_planted(spark):
+    from threadlens.operators.density import density_hierarchy
+
+    X, df = _planted(spark)
+    labels = dict(density_hierarchy(df, min_samples=5, min_cluster_size=5, **SMALL).collect())
+    found = [{labels[i] for i in range(c * 30, (c + 1) * 30)} for c in range(4)]
+    main = [max(s, key=lambda x: sum(1 for i in range(c * 30, (c + 1) * 30) if labels[i] == x))
+            for c, s in enumerate(found)]
+    assert -1 not in main and len(set(main)) == 4
+    for c in range(4):
+        assert sum(1 for i in range(c * 30, (c + 1) * 30) if labels[i] == main[c]) >= 25

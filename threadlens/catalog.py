@@ -376,6 +376,14 @@ def q_topic_model_embeddings(spark, d):
     from threadlens.plans.topics import topic_model
 
     docs = join_embeddings(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "embeddings"))
-    doc_topic, _ = topic_model(docs, "text", n_topics=10, clusterer="density", features="embedding",
+    doc_topic, _ = topic_model(docs, "text", n_topics=10, clusterer="hierarchy", features="embedding",
                                keep_outliers=True)
     return doc_topic
+
+
+@query
+def q_density_hierarchy(spark, d):
+    """M6: clusters chosen over density levels by stability."""
+    from threadlens.operators.density import density_hierarchy
+
+    return density_hierarchy(_points(spark, d), MIN_SAMPLES, MIN_CLUSTER_SIZE)

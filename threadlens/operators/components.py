@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from threadlens.session import checkpoint_dir
 
@@ -32,7 +33,8 @@ def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "i
     labels = (v.join(first, v.id == first.src, "left")
               .select("id", F.least(F.col("id"), F.coalesce(F.col("m"), F.col("id"))).alias("label"))
               ).checkpoint()
-    total = _label_sum(labels)
+    numeric = isinstance(labels.schema["label"].dataType, NumericType)
+    total = _label_sum(labels) if numeric else None
     while True:
         msg = (e.join(labels, e.src == labels.id)
                .groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("m")))
@@ -42,13 +44,23 @@ def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "i
         new = (prop.join(hop, prop.label == hop.hid, "left")
                .select("id", F.least(F.col("label"), F.coalesce(F.col("hlabel"), F.col("label"))).alias("label"))
                ).checkpoint()
-        new_total = _label_sum(new)
+        if numeric:
+            new_total = _label_sum(new)
+            done = new_total == total
+            total = new_total
+        else:
+            done = _changed(new, labels) == 0
         labels = new
-        if new_total == total:
+        if done:
             break
-        total = new_total
     return labels.select(F.col("id").alias(id_col), F.col("label").alias("component"))
 
 
 def _label_sum(labels: DataFrame):
     return labels.agg(F.sum(F.col("label").cast("decimal(38,0)")).alias("s")).first()["s"]
+
+
+def _changed(labels: DataFrame, previous: DataFrame) -> int:
+    """For ids that are not numbers (e.g. structs): labels that changed."""
+    old = previous.select("id", F.col("label").alias("old"))
+    return labels.join(old, "id").filter(F.col("label") != F.col("old")).count()
