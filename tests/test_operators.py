@@ -116,3 +116,25 @@ def test_union_sheets_by_name(spark):
     b = spark.createDataFrame([("y", 2, 5)], "c string, Topic int, extra int")
     got = sorted(tuple(r) for r in union_sheets([a, b]).collect())
     assert got == [(1, "x", None), (2, "y", 5)]
+
+
+def test_read_cols_pushes_raw_filter(spark, tmp_path):
+    from threadlens.functions.clean import not_blocked
+    from threadlens.sources.readers import read_cols
+
+    path = str(tmp_path / "comments")
+    spark.createDataFrame([("c", "m1", "ok"), ("c", "m2", "blocked"), ("c", "m3", None)],
+                          "conversation_id string, conv_message_id string, final_state string") \
+        .write.parquet(path)
+    df = read_cols(spark, path, ["conv_message_id", "final_state"], where=not_blocked("final_state"))
+    assert sorted(tuple(r) for r in df.collect()) == [("m1", "ok"), ("m3", "missing")]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(IsNull(final_state),Not(EqualTo(final_state,blocked)))]" in plan.replace(" ", "") \
+        or "final_state" in plan.split("PushedFilters")[1].split("]")[0]
+
+
+def test_top_comments_requires_topic(spark):
+    from threadlens.plans.report import top_comments
+
+    with pytest.raises(ValueError):
+        top_comments(spark.createDataFrame([("c",)], "conversation_id string"), reuse_input=False)

@@ -387,3 +387,14 @@ def q_density_hierarchy(spark, d):
     from threadlens.operators.density import density_hierarchy
 
     return density_hierarchy(_points(spark, d), MIN_SAMPLES, MIN_CLUSTER_SIZE)
+
+
+@query
+def q_modelled_topic_report(spark, d):
+    """D8, the reference's intended main flow: topic model on the engaged
+    descriptions (M11), its doc_topic into the report (D5)."""
+    from threadlens.plans.topics import topic_model
+
+    c, r, a, _ = _inputs(spark, d)
+    doc_topic, _ = topic_model(E.engaged_descriptions(c, r, a), "description", clusterer="kmeans")
+    return R.topic_report(E.compile_engagement(c, r, a, doc_topic))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from threadlens.functions.clean import SENTINEL, as_text
 from threadlens.sources.tables import DOC_TOPIC_SCHEMA
@@ -21,14 +21,21 @@ def select_cols(df: DataFrame, columns: list[str], sentinel: str = SENTINEL) ->
 
 
 def read_cols(spark: SparkSession, path: str, columns: list[str], fmt: str = "parquet",
-              sentinel: str = SENTINEL, **options) -> DataFrame:
-    """Read named columns of one table (one "sheet")."""
+              sentinel: str = SENTINEL, where: Column | None = None, **options) -> DataFrame:
+    """Read named columns of one table (one "sheet").
+
+    ``where`` is a predicate on the *raw* columns, applied before the sentinel
+    fill so the scan can use it (e.g. ``not_blocked('final_state')`` shows up
+    in ``PushedFilters``; after ``coalesce`` it would not)."""
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.option("header", "true")
     for k, v in options.items():
         reader = reader.option(k, v)
-    return select_cols(reader.load(path), columns, sentinel)
+    raw = reader.load(path)
+    if where is not None:
+        raw = raw.filter(where)
+    return select_cols(raw, columns, sentinel)
 
 
 def read_doc_topic(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
