@@ -64,3 +64,20 @@ def test_top_topic_per_user(spark):
     assert got["u1"] == ("u1", "a", 2, 2, 3)
     assert got["u2"] == ("u2", None, None, None, None)
     assert {r.conversation_id: r.topic for r in U.convo_topic_map(report).collect()} == {"a": 3, "b": 2}
+
+
+def test_report_options(spark):
+    rows = [("T", "d", "p", "u", "t", 0, "w", "c1", "m1", "a", "x", "ok", "m1", 1, 1),
+            ("T", "d", "p", "u", "t", 0, "w", "c1", "m2", "a", "x", "ok", "m2", 1, 9),
+            ("S", "e", "p", "u", "t", 0, "w", "c2", "m3", "a", "x", "ok", "m3", 1, 5),
+            ("S", "e", "p", "u", "t", 0, "w", "c2", "m4", "a", "x", "ok", "m4", 1, 6)]
+    schema = ", ".join(f"{c} {'int' if c == 'Topic' else 'bigint' if c in ('total_views', 'total_likes') else 'string'}"
+                       for c in E.COMPILED_COLS)
+    compiled = spark.createDataFrame(rows, schema)
+    # rows: the top row (likes 9) is c1's; articles: c2 has 11 likes in total
+    assert [r.conversation_id for r in R.top_rows_per_topic(compiled, 1).collect()] == ["c1"]
+    assert [r.conversation_id for r in R.top_articles_by_likes(compiled, 1).collect()] == ["c2"]
+    top = R.top_comments(compiled, reuse_input=False)
+    by_msg = {r.conversation_id: r for r in R.hec_wide(top).collect()}
+    by_likes = {r.conversation_id: r for r in R.hec_wide(top, slot_order="likes").collect()}
+    assert by_msg["c1"].HEC1_conv_message_id == "m1" and by_likes["c1"].HEC1_conv_message_id == "m2"
