@@ -138,3 +138,27 @@ def test_top_comments_requires_topic(spark):
 
     with pytest.raises(ValueError):
         top_comments(spark.createDataFrame([("c",)], "conversation_id string"), reuse_input=False)
+
+
+def test_clean_count_matches_half_even_property(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    values = st.lists(st.decimals(min_value=-10**6, max_value=10**6, places=2, allow_nan=False), min_size=1,
+                      max_size=40)
+
+    @settings(max_examples=15, deadline=None)
+    @given(values)
+    def check(xs):
+        texts = [f"{x:.2f}" for x in xs]
+        df = spark.createDataFrame([(t,) for t in texts], "v string")
+        got = [r[0] for r in df.select(clean_count("v")).collect()]
+        assert got == [round(float(t)) for t in texts]   # Python rounds half to even
+
+    check()
+
+
+def test_approx_distinct_counts(spark):
+    df = spark.createDataFrame([(i % 7, f"x{i % 3}") for i in range(100)], "a int, b string")
+    got = dict(Q.approx_distinct_counts(df, ["a", "b"]).collect())
+    assert got == {"a": 7, "b": 3}
