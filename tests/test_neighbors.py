@@ -96,3 +96,14 @@ def test_density_hierarchy_recovers_planted(spark):
     assert -1 not in main and len(set(main)) == 4
     for c in range(4):
         assert sum(1 for i in range(c * 30, (c + 1) * 30) if labels[i] == main[c]) >= 25
+
+
+def test_knn_many_tiny_cells(spark):
+    X, df = _planted(spark)
+    k = 3
+    got = {(r["id"], r["rank"]): r["distance"]
+           for r in knn(df, k, block_size=4, cell_target=3, max_pivots=64).collect()}
+    D = _brute(X)
+    for i in range(len(X)):
+        want = sorted(D[i])[:k]
+        assert [round(got[(i, r)], 9) for r in range(1, k + 1)] == [round(w, 9) for w in want]
