@@ -299,9 +299,12 @@ def q_topic_info(spark, d):
 
 # ---- neighbours and density clusters ----------------------------------------
 
-DENSITY_EPS = 1.18          # density level of the fixed-eps cluster query
-MIN_SAMPLES = 5             # neighbours for the core distance
-MIN_CLUSTER_SIZE = 5        # smallest cluster
+# Fixed values (the reference's density settings): neighbours for the core
+# distance, smallest cluster.
+MIN_SAMPLES = 5
+MIN_CLUSTER_SIZE = 5
+# Own parameters: density level of the fixed-eps query, digits of distances.
+DENSITY_EPS = 1.18
 DIST_DIGITS = 6
 
 
