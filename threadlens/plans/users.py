@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.operators.ranking import dense_rank_desc
+from threadlens.sources.sinks import materialize
 
 TOP_CONVERSATIONS_N = 100   # rows shown by the "top conversations" view
 
@@ -31,9 +32,15 @@ def top_conversations(history: DataFrame, n: int = TOP_CONVERSATIONS_N) -> DataF
     return counts.orderBy(F.col("count").desc(), "user_id", "conversation_id").limit(n)
 
 
-def user_conversation_rank(history: DataFrame) -> DataFrame:
-    """Counts with the dense rank (1 = most comments) per user."""
-    ranked = dense_rank_desc(user_conversation_counts(history), ["user_id"], "count", "rank")
+def user_conversation_rank(history: DataFrame, reuse_counts: bool = False) -> DataFrame:
+    """Counts with the dense rank (1 = most comments) per user.
+
+    The counts are read twice (distinct count levels, then the join back);
+    ``reuse_counts`` writes them once to the shared folder first."""
+    counts = user_conversation_counts(history)
+    if reuse_counts:
+        counts = materialize(counts, "user_conversation_counts")
+    ranked = dense_rank_desc(counts, ["user_id"], "count", "rank")
     return ranked.select("user_id", "conversation_id", "count", F.col("rank").cast("int").alias("rank"))
 
 
@@ -44,7 +51,8 @@ def convo_topic_map(report_rows: DataFrame) -> DataFrame:
 
 
 def conversation_counts_with_topic(history: DataFrame, report_rows: DataFrame) -> DataFrame:
-    ranked = user_conversation_rank(history)
+    # the job reads the counts three times (ranks, join back, all users): one write
+    ranked = materialize(user_conversation_rank(history, reuse_counts=True), "ranked_counts")
     return ranked.join(convo_topic_map(report_rows), "conversation_id", "left")
 
 
