@@ -51,8 +51,8 @@ def convo_topic_map(report_rows: DataFrame) -> DataFrame:
 
 
 def conversation_counts_with_topic(history: DataFrame, report_rows: DataFrame) -> DataFrame:
-    # the job reads the counts three times (ranks, join back, all users): one write
-    ranked = materialize(user_conversation_rank(history, reuse_counts=True), "ranked_counts")
+    # the counts are read twice by the rank (levels, join back): one write
+    ranked = user_conversation_rank(history, reuse_counts=True)
     return ranked.join(convo_topic_map(report_rows), "conversation_id", "left")
 
 
@@ -66,6 +66,6 @@ def top_topic_per_user(history: DataFrame, report_rows: DataFrame) -> DataFrame:
     best = (with_topic.groupBy("user_id")
             .agg(F.min_by(F.struct("conversation_id", "count", "rank", "topic"), key).alias("b"))
             .select("user_id", "b.*"))
-    users = counts.select("user_id").distinct()
+    users = history.select("user_id").distinct()   # two columns of the scan, partial aggregate
     return users.join(best, "user_id", "left").select(
         "user_id", "conversation_id", "count", "rank", "topic")
