@@ -1,6 +1,5 @@
 """Job-level behaviour on hand-made inputs: the report and user engagement."""
 
-from pyspark.sql import functions as F
 
 from threadlens.plans import engagement as E, report as R, users as U
 from threadlens.sources.tables import ARTICLE_COLS, COMMENT_COLS, HISTORY_COLS, REACTION_COLS

@@ -3,7 +3,6 @@ nulls, short articles, empty input."""
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from threadlens.functions.clean import as_text, clean_count, sheet_name, strip_non_ascii
 from threadlens.operators import quality as Q

@@ -15,7 +15,7 @@ from threadlens.plans import compare, engagement as E, report as R, users as U
 from threadlens.session import scratch_path
 from threadlens.sources import fixtures as FX
 from threadlens.sources.readers import read_doc_topic, select_cols
-from threadlens.sources.sinks import read_topic_sheets, write_table
+from threadlens.sources.sinks import write_table
 from threadlens.sources.tables import ARTICLE_COLS, table
 
 Query = Callable[[SparkSession, str], DataFrame]
