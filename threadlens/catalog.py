@@ -203,7 +203,10 @@ def q_dedupe_keep_first(spark, d):
 
 @query
 def q_top_comments(spark, d):
-    return _top(spark, d)
+    """D3 + O1: the report rows in the report's order (Topic, conversation_id,
+    conv_message_id, likes desc); a range-partitioned sort of <= 4 rows per
+    conversation."""
+    return R.display_order(_top(spark, d))
 
 
 @query
