@@ -29,7 +29,7 @@ def main() -> None:
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
 
     from threadlens.catalog import QUERIES
-    from threadlens.session import build_session
+    from threadlens.session import build_session, drop_scratch
 
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=max(8, 2 * int(cpus)),
                           app_name="threadlens-bench")
@@ -45,6 +45,7 @@ def main() -> None:
             q(spark, sf_dir).write.format("noop").mode("overwrite").save()
             samples.append(time.perf_counter() - t)
         times[name] = round(statistics.median(samples), 3)
+        drop_scratch(spark)   # intermediate tables of this query's runs
         print(f"{name}: {times[name]}s rows={rows[name]}", file=sys.stderr, flush=True)
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(json.dumps({"metric": "sum_of_median_query_seconds", "value": round(sum(times.values()), 3),

@@ -161,3 +161,17 @@ def test_approx_distinct_counts(spark):
     df = spark.createDataFrame([(i % 7, f"x{i % 3}") for i in range(100)], "a int, b string")
     got = dict(Q.approx_distinct_counts(df, ["a", "b"]).collect())
     assert got == {"a": 7, "b": 3}
+
+
+def test_drop_scratch(spark):
+    import os
+
+    from threadlens.session import drop_scratch, scratch_path
+    from threadlens.sources.sinks import materialize
+
+    df = materialize(spark.createDataFrame([(1,)], "x int"), "probe")
+    assert df.count() == 1
+    base = scratch_path(spark, "x").rsplit("/", 1)[0].removeprefix("file:")
+    assert os.path.isdir(base)
+    drop_scratch(spark)
+    assert not os.path.exists(base)
