@@ -31,7 +31,7 @@ COMPILED = f"""compiled AS (
 
 TOP_ROWS = """top_rows AS (
   SELECT * EXCLUDE (rn) FROM (
-    SELECT *, row_number() OVER (PARTITION BY Topic ORDER BY total_likes DESC, message_id,
+    SELECT *, row_number() OVER (PARTITION BY Topic ORDER BY total_likes DESC, length(message_id), message_id,
            title, conversation_id, conv_message_id, description) AS rn FROM compiled) WHERE rn <= 10)"""
 
 SEMI = """semi_rows AS (
@@ -40,8 +40,8 @@ SEMI = """semi_rows AS (
 
 TOP4 = """top4 AS (
   SELECT * EXCLUDE (rn) FROM (
-    SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY total_likes DESC, message_id,
-           Topic, title, conv_message_id, description) AS rn FROM semi_rows) WHERE rn <= 4)"""
+    SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY total_likes DESC, length(message_id),
+           message_id, Topic, title, conv_message_id, description) AS rn FROM semi_rows) WHERE rn <= 4)"""
 
 
 def _dedupe(src: str) -> str:
