@@ -107,3 +107,18 @@ def test_knn_many_tiny_cells(spark):
     for i in range(len(X)):
         want = sorted(D[i])[:k]
         assert [round(got[(i, r)], 9) for r in range(1, k + 1)] == [round(w, 9) for w in want]
+
+
+def test_edge_cases(spark):
+    X, df = _planted(spark)
+    # a level below every core distance: everything is noise
+    labels = dict(density_clusters(df, eps=1e-6, min_samples=5, min_cluster_size=5, **SMALL).collect())
+    assert set(labels.values()) == {-1} and len(labels) == len(X)
+    # fewer points than k: every other point, no more
+    few = df.filter("id < 3")
+    got = knn(few, 5, **SMALL).collect()
+    assert sorted((r.id, r.neighbor_id) for r in got) == [(a, b) for a in range(3) for b in range(3) if a != b]
+    # identical vectors: distance 0, ties by id
+    dup = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(4)], "id long, vec array<float>")
+    rows = knn(dup, 2).filter("id = 0").orderBy("rank").collect()
+    assert [(r.neighbor_id, r.distance) for r in rows] == [(1, 0.0), (2, 0.0)]
