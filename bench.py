@@ -18,7 +18,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "compile_engagement", "engaged_descriptions", "missing_topic_stats", "key_overlap",
     "null_counts", "duplicate_rows", "top_comments", "hec_wide", "user_conversation_rank",
-    "top_topic_per_user", "ctfidf_terms", "topic_info", "knn", "density_clusters", "topic_model",
+    "top_topic_per_user", "ctfidf_terms", "topic_info", "knn", "density_clusters",
+    "density_hierarchy", "topic_model", "topic_model_kmeans",
 ]
 
 

@@ -122,3 +122,15 @@ def test_edge_cases(spark):
     dup = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(4)], "id long, vec array<float>")
     rows = knn(dup, 2).filter("id = 0").orderBy("rank").collect()
     assert [(r.neighbor_id, r.distance) for r in rows] == [(1, 0.0), (2, 0.0)]
+
+
+def test_hierarchy_driver_and_spark_paths_agree(spark):
+    from threadlens.operators.density import density_hierarchy
+
+    X, df = _planted(spark)
+    local = dict(density_hierarchy(df, 5, 5, **SMALL).collect())
+    dist = dict(density_hierarchy(df, 5, 5, tree_on_driver=0, **SMALL).collect())
+    assert local == dist
+    emb = spark.read.parquet(f"{SF_MID}/embeddings.parquet").select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    assert dict(density_hierarchy(emb, 5, 5).collect()) == dict(density_hierarchy(emb, 5, 5, tree_on_driver=0).collect())

@@ -366,7 +366,18 @@ def q_topic_reduce(spark, d):
 
 @query
 def q_topic_model(spark, d):
-    """Engaged descriptions → TF-IDF → k-means (6 topics)."""
+    """Engaged descriptions → TF-IDF → PCA → density clusters chosen
+    over density levels (outliers -1, dropped as M1 does) → at most 6 topics."""
+    from threadlens.plans.topics import topic_model
+
+    c, r, a, _ = _inputs(spark, d)
+    doc_topic, _ = topic_model(E.engaged_descriptions(c, r, a), "description", clusterer="hierarchy")
+    return doc_topic
+
+
+@query
+def q_topic_model_kmeans(spark, d):
+    """M1 with the fast clusterer (F2): TF-IDF → k-means, 6 topics."""
     from threadlens.plans.topics import topic_model
 
     c, r, a, _ = _inputs(spark, d)
@@ -402,5 +413,5 @@ def q_modelled_topic_report(spark, d):
     from threadlens.plans.topics import topic_model
 
     c, r, a, _ = _inputs(spark, d)
-    doc_topic, _ = topic_model(E.engaged_descriptions(c, r, a), "description", clusterer="kmeans")
+    doc_topic, _ = topic_model(E.engaged_descriptions(c, r, a), "description", clusterer="hierarchy")
     return R.topic_report(E.compile_engagement(c, r, a, doc_topic))
