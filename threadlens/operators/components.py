@@ -23,7 +23,9 @@ from threadlens.session import checkpoint_dir
 def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "id",
                          src: str = "src", dst: str = "dst") -> DataFrame:
     """(id, component) where component is the smallest id of the component;
-    a vertex without edges is its own component."""
+    a vertex without edges is its own component. Numeric ids are the fast
+    path (convergence from one sum per round); other orderable ids work but
+    cost a join per round and are slow on large graphs."""
     checkpoint_dir(vertices.sparkSession)
     e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"))
     e = (e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
