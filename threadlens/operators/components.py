@@ -1,68 +1,77 @@
 """Connected components of a graph given as DataFrames (used by M5/M6).
 
-Min-label propagation with shortcutting: every vertex starts with the
-smallest id among itself and its neighbours; each round a vertex takes the
-smallest label among its neighbours, then jumps to the label of its label.
-Labels only fall and always name a vertex of the same component, so at the
-fixed point every component carries its smallest id. Each round is a join, an
-aggregate (partial before the shuffle) and a self-join; the labels are
-checkpointed to the shared folder every round (lineage stays short and a lost
-executor costs one round). Convergence is checked on the driver with one
-number per round: labels only fall, so an unchanged sum means no change.
+Alternating large-star and small-star steps (Kiveris et al., "Connected
+Components in MapReduce and Beyond", 2014). In a large-star step every vertex
+hands its smallest neighbour to its larger neighbours; in a small-star step
+it hands it to its smaller ones. The edge set turns into one star per
+component whose centre is the smallest id, after a number of rounds that
+grows with the logarithm of the component, not with its diameter. Each step
+is one aggregate (partial before the shuffle) and one join on the same key,
+whose many side AQE splits for a hot vertex. Every round is checkpointed to
+the shared folder; the driver sees two numbers per round.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 
 from threadlens.session import checkpoint_dir
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "id",
-                         src: str = "src", dst: str = "dst") -> DataFrame:
-    """(id, component) where component is the smallest id of the component;
-    a vertex without edges is its own component. Numeric ids are the fast
-    path (convergence from one sum per round); other orderable ids work but
-    cost a join per round and are slow on large graphs."""
+                         src: str = "src", dst: str = "dst",
+                         rounds: list[int] | None = None) -> DataFrame:
+    """(id, component) where component is the smallest id of the component; a
+    vertex without edges is its own component. Ids may be of any orderable
+    type. Null ids and self loops in ``edges`` are ignored. ``rounds``, if
+    given, receives the number of rounds (for tests)."""
     checkpoint_dir(vertices.sparkSession)
-    e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"))
-    e = (e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-         .filter(F.col("src") != F.col("dst")).distinct()).checkpoint()
+    star = star_forest(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")), rounds)
     v = vertices.select(F.col(id_col).alias("id")).distinct()
-    first = e.groupBy("src").agg(F.min("dst").alias("m"))
-    labels = (v.join(first, v.id == first.src, "left")
-              .select("id", F.least(F.col("id"), F.coalesce(F.col("m"), F.col("id"))).alias("label"))
-              ).checkpoint()
-    numeric = isinstance(labels.schema["label"].dataType, NumericType)
-    total = _label_sum(labels) if numeric else None
-    while True:
-        msg = (e.join(labels, e.src == labels.id)
-               .groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("m")))
-        prop = (labels.join(msg, "id", "left")
-                .select("id", F.least(F.col("label"), F.coalesce(F.col("m"), F.col("label"))).alias("label")))
-        hop = prop.select(F.col("id").alias("hid"), F.col("label").alias("hlabel"))
-        new = (prop.join(hop, prop.label == hop.hid, "left")
-               .select("id", F.least(F.col("label"), F.coalesce(F.col("hlabel"), F.col("label"))).alias("label"))
-               ).checkpoint()
-        if numeric:
-            new_total = _label_sum(new)
-            done = new_total == total
-            total = new_total
-        else:
-            done = _changed(new, labels) == 0
-        labels = new
-        if done:
+    return (v.join(star, v.id == star.u, "left")
+            .select(F.col("id").alias(id_col), F.coalesce("v", "id").alias("component")))
+
+
+def star_forest(pairs: DataFrame, rounds: list[int] | None = None) -> DataFrame:
+    """(u, v): every vertex u that has an edge and is not the smallest of its
+    component, with the smallest vertex v of its component."""
+    checkpoint_dir(pairs.sparkSession)
+    e = _downward(pairs.filter(F.col("u").isNotNull() & F.col("v").isNotNull())).checkpoint()
+    seen, n = _signature(e), 0
+    while seen[0]:
+        n += 1
+        e = _small_star(_large_star(e)).checkpoint()
+        now = _signature(e)
+        if now == seen:
             break
-    return labels.select(F.col("id").alias(id_col), F.col("label").alias("component"))
+        seen = now
+    if rounds is not None:
+        rounds.append(n)
+    return e
+
+
+def _downward(pairs: DataFrame) -> DataFrame:
+    """Distinct edges with u > v."""
+    return (pairs.filter(F.col("u") != F.col("v"))
+            .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+
+
+def _large_star(e: DataFrame) -> DataFrame:
+    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.min("v").alias("m"))
+    return (both.filter(F.col("v") > F.col("u")).join(low, "u")
+            .select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
 
 
-def _label_sum(labels: DataFrame):
-    return labels.agg(F.sum(F.col("label").cast("decimal(38,0)")).alias("s")).first()["s"]
+def _small_star(e: DataFrame) -> DataFrame:
+    low = e.groupBy("u").agg(F.min("v").alias("m"))
+    to_low = e.join(low, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return to_low.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _changed(labels: DataFrame, previous: DataFrame) -> int:
-    """For ids that are not numbers (e.g. structs): labels that changed."""
-    old = previous.select("id", F.col("label").alias("old"))
-    return labels.join(old, "id").filter(F.col("label") != F.col("old")).count()
+def _signature(e: DataFrame) -> tuple:
+    """Number of edges and a sum of their hashes: equal after a round that
+    changed nothing."""
+    row = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+    return row["n"], row["h"]

@@ -46,8 +46,9 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    Uses the cluster's ``spark.checkpoint.dir``. Only when it is unset (local
-    tests) a fresh scratch folder is created and registered.
+    Uses the cluster's ``spark.checkpoint.dir``. Only when it is unset and the
+    master is local (tests) a fresh scratch folder is created and registered;
+    on any other master executors could not see such a folder, so it raises.
     """
     try:
         sc = spark.sparkContext
@@ -58,9 +59,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if sc is None or not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="threadlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        if sc is None:
-            spark.conf.set("spark.checkpoint.dir", configured)
     if sc is None:
         return configured
     sc.setCheckpointDir(configured)
