@@ -124,26 +124,28 @@ def _shards(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple
     yield shard
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+def contamination(docs: DataFrame, items: DataFrame, keep: list[str], text_col: str = "text",
                   item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row for each row of ``docs``: (doc_id, n_words, spans, items) with
-    the merged word spans (start, end) inside occurrences of benchmark windows
-    and the sorted ids (as text) of the items that occur.
+    """One row for each row of ``docs``: its columns ``keep`` and (n_words,
+    hit_spans, hit_items) with the merged word spans (start, end) inside
+    occurrences of benchmark windows and the sorted ids (as text) of the items
+    that occur.
 
     A null or empty text, and one of separators only, has no words: no spans
     as a document, no window as an item. A null item id counts as ''. Items
     with equal texts or ids are all reported (an id once). Repeated documents
-    are rows of their own; other columns are ignored; an empty benchmark hits
-    nothing.
+    are rows of their own; an empty benchmark hits nothing. ``keep`` may not
+    name a column of the result; other columns of ``docs`` are ignored.
     """
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {kind}, row long, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
-    kept = docs.select(F.col(id_col), F.col(text_col), F.lit(0).cast("long").alias("row"))
+    kept = docs.select(*keep, F.lit(0).cast("long").alias("hit_row"), F.col(text_col).alias("hit_text"))
+    at = len(keep)
+    fields = [f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in [*keep, "hit_row"]]
+    schema = ", ".join([*fields, "n_words long", "hit_spans array<struct<start:int,end:int>>", "hit_items array<string>"])
     shards = _shards(items, item_id, item_text)
     first, second = next(shards), next(shards, None)
     if second is not None:  # several shards meet again by a row number of a written table
-        kept = materialize(kept.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
+        kept = materialize(kept.withColumn("hit_row", F.monotonically_increasing_id()), "decontaminate")
 
     def against(shard) -> DataFrame:
         shared = spark.sparkContext.broadcast(shard)
@@ -152,27 +154,29 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         def rows(batch: pa.RecordBatch) -> dict:
             if not made:
                 made.append(Matcher(shared.value, window))
-            out: dict = {id_col: batch.column(0), "row": batch.column(2), "n_words": [], "spans": [], "items": []}
-            for text in text_bytes(batch.column(1)):
+            out: dict = {c: batch.column(i) for i, c in enumerate([*keep, "hit_row"])}
+            out |= {"n_words": [], "hit_spans": [], "hit_items": []}
+            for text in text_bytes(batch.column(at + 1)):
                 words = words_of(text)
                 spans, found = made[0].find(words)
                 out["n_words"].append(len(words))
-                out["spans"].append([{"start": a, "end": b} for a, b in spans])
-                out["items"].append(sorted(found))
+                out["hit_spans"].append([{"start": a, "end": b} for a, b in spans])
+                out["hit_items"].append(sorted(found))
             return out
 
         return map_batches(kept, rows, schema)
 
     found = against(first)
     if second is None:
-        return found.drop("row")
+        return found.drop("hit_row")
     for shard in (second, *shards):
         found = found.unionByName(against(shard))
-    found = found.groupBy("row").agg(
-        F.first(id_col).alias(id_col), F.first("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return found.select(id_col, "n_words", _merged(F.col("spans")).alias("spans"), "items")
+    found = found.groupBy("hit_row").agg(
+        F.first("n_words").alias("n_words"),
+        F.array_sort(F.flatten(F.collect_list("hit_spans"))).alias("hit_spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("hit_items"))
+    return (kept.select(*keep, "hit_row").join(found, "hit_row")
+            .select(*keep, "n_words", _merged(F.col("hit_spans")).alias("hit_spans"), "hit_items"))
 
 
 def _merged(spans):
@@ -193,11 +197,11 @@ def decontaminate_query(spark, sf_dir: str) -> DataFrame:
     """Op 8: every document against the whole benchmark."""
     from threadlens.llm.common import read
 
-    found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), ["doc_id"])
+    n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (F.size("hit_spans") > 0).alias("contaminated"))
 
 
 #: DuckDB: every window of ten words (or the whole text of fewer) joined by equality.

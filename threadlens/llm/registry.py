@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from threadlens.llm import decontaminate, langid, simhash
+from threadlens.llm import decontaminate, langid, pieces, secrets, simhash
+
+
+def _pipeline(spark, sf_dir):
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
 
 QUERIES = {
+    "op3_secret_scan": secrets.secrets_query,
     "op7_simhash_ball": simhash.simhash_query,
     "op8_decontaminate": decontaminate.decontaminate_query,
+    "op9_pieces": pieces.pieces_query,
     "op10_language_id": langid.langid_query,
+    "pipeline": _pipeline,
 }
 
 ORACLE = {
