@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadlens.llm import decontaminate, langid, pieces, secrets, simhash
+from threadlens.llm import automata, decontaminate, langid, pieces, secrets, simhash
 
 
 def _pipeline(spark, sf_dir):
@@ -13,6 +13,7 @@ def _pipeline(spark, sf_dir):
 
 QUERIES = {
     "op3_secret_scan": secrets.secrets_query,
+    "op6_repeated_spans": automata.repeats_query,
     "op7_simhash_ball": simhash.simhash_query,
     "op8_decontaminate": decontaminate.decontaminate_query,
     "op9_pieces": pieces.pieces_query,
@@ -21,5 +22,6 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op6_repeated_spans": automata.ORACLE_SQL,
     "op8_decontaminate": decontaminate.ORACLE_SQL,
 }
