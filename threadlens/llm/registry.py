@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadlens.llm import automata, decontaminate, langid, pieces, secrets, simhash
+from threadlens.llm import automata, decontaminate, editprint, langid, pieces, secrets, simhash
 
 
 def _pipeline(spark, sf_dir):
@@ -12,6 +12,7 @@ def _pipeline(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_edit_fingerprints": editprint.fingerprint_query,
     "op3_secret_scan": secrets.secrets_query,
     "op6_repeated_spans": automata.repeats_query,
     "op7_simhash_ball": simhash.simhash_query,
