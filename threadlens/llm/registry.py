@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadlens.llm import automata, decontaminate, editprint, langid, pieces, secrets, simhash
+from threadlens.llm import automata, decontaminate, editprint, langid, pieces, secrets, simhash, warc
 
 
 def _pipeline(spark, sf_dir):
@@ -12,6 +12,7 @@ def _pipeline(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_warc_revisits": warc.revisits_query,
     "op2_edit_fingerprints": editprint.fingerprint_query,
     "op3_secret_scan": secrets.secrets_query,
     "op6_repeated_spans": automata.repeats_query,
@@ -23,6 +24,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_warc_revisits": warc.ORACLE_SQL,
     "op6_repeated_spans": automata.ORACLE_SQL,
     "op8_decontaminate": decontaminate.ORACLE_SQL,
 }
