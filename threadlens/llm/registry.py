@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadlens.llm import automata, decontaminate, editprint, langid, pieces, secrets, simhash, warc
+from threadlens.llm import automata, decontaminate, editprint, langid, licenses, pieces, pseudonyms, secrets, simhash, warc
 
 
 def _pipeline(spark, sf_dir):
@@ -15,6 +15,8 @@ QUERIES = {
     "op1_warc_revisits": warc.revisits_query,
     "op2_edit_fingerprints": editprint.fingerprint_query,
     "op3_secret_scan": secrets.secrets_query,
+    "op4_licenses": licenses.licenses_query,
+    "op5_pseudonyms": pseudonyms.pseudonyms_query,
     "op6_repeated_spans": automata.repeats_query,
     "op7_simhash_ball": simhash.simhash_query,
     "op8_decontaminate": decontaminate.decontaminate_query,
