@@ -18,12 +18,17 @@ from threadlens.llm.common import materialize, read
 MIN_LANG_SCORE = 0.5
 
 
+def _as_row(docs: DataFrame) -> DataFrame:
+    """(row, text): the columns of ``docs`` as one, so that none meets a name an operator uses."""
+    return docs.select(F.struct(*docs.columns).alias("row"), "text")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Op 10, learnt from the labelled rows of ``docs``; rejected documents go."""
     model = langid.fit(docs.filter(~langid.held_out()))
-    found = langid.identify(docs.withColumn("lang_text", F.col("text")), model, docs.columns, "lang_text")
+    found = langid.identify(_as_row(docs), model, ["row"])
     accepted = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANG_SCORE)
-    return found.filter(accepted).select(docs.columns)
+    return found.filter(accepted).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,29 +37,29 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     that are equal in every column one stays."""
     key = F.struct(F.col("doc_id"), F.xxhash64(*docs.columns).alias("row_hash"))
     groups = simhash.near_duplicates(docs.select(key.alias("key"), "text"), "key")
-    kept = (groups.filter(F.col("key").eqNullSafe(F.col("component_id"))).groupBy("key").count()
-            .select(F.col("key.doc_id").alias("kept_id"), F.col("key.row_hash").alias("kept_hash"), "count"))
-    kept = materialize(kept, "near-duplicates-kept")
-    both = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64(*docs.columns) == F.col("kept_hash"))
-    if kept.filter(F.col("count") > 1).isEmpty():
+    kept = groups.filter(F.col("key").eqNullSafe(F.col("component_id"))).groupBy("key").agg(F.count("*").alias("__n"))
+    kept = materialize(kept, "near-duplicates-kept").select(
+        F.col("key.doc_id").alias("__id"), F.col("key.row_hash").alias("__hash"), "__n")
+    both = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(*docs.columns) == F.col("__hash"))
+    if kept.filter(F.col("__n") > 1).isEmpty():
         return docs.join(kept, both, "left_semi")
-    single = docs.join(kept.filter(F.col("count") == 1), both, "left_semi")
-    repeated = docs.join(kept.filter(F.col("count") > 1), both, "left_semi")
+    single = docs.join(kept.filter(F.col("__n") == 1), both, "left_semi")
+    repeated = docs.join(kept.filter(F.col("__n") > 1), both, "left_semi")
     return single.unionByName(repeated.dropDuplicates())
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Op 8; documents that hold a benchmark window go."""
-    found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"), docs.columns)
-    return found.filter(F.size("hit_spans") == 0).select(docs.columns)
+    found = decontaminate.contamination(_as_row(docs), read(spark, sf_dir, "benchmark"), ["row"])
+    return found.filter(F.size("hit_spans") == 0).select("row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Op 3; secrets are replaced in the text, n_chars follows."""
-    clean = secrets.redact(secrets.find_secrets(docs))
+    clean = secrets.redact(secrets.find_secrets(_as_row(docs)))
     changed = F.size("secret_spans") > 0
-    return clean.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-                            ).select(docs.columns)
+    new = F.col("row").withField("text", F.col("text")).withField("n_chars", F.length("text").cast("long"))
+    return clean.select(F.when(changed, new).otherwise(F.col("row")).alias("row")).select("row.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

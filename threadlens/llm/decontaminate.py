@@ -134,10 +134,11 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str], text_col:
     A null or empty text, and one of separators only, has no words: no spans
     as a document, no window as an item. A null item id counts as ''. Items
     with equal texts or ids are all reported (an id once). Repeated documents
-    are rows of their own; an empty benchmark hits nothing. ``keep`` may not
-    name a column of the result; other columns of ``docs`` are ignored.
+    are rows of their own; an empty benchmark hits nothing. Columns of ``docs``
+    that are not in ``keep``, or have the name of a result, are left out.
     """
     spark = docs.sparkSession
+    keep = [c for c in keep if c not in ("n_words", "hit_spans", "hit_items", "hit_row", "hit_text")]
     kept = docs.select(*keep, F.lit(0).cast("long").alias("hit_row"), F.col(text_col).alias("hit_text"))
     at = len(keep)
     fields = [f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in [*keep, "hit_row"]]

@@ -106,10 +106,11 @@ def likeness(a: str, b: str) -> float:
 
 def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", seed: int = SEED) -> DataFrame:
     """The columns ``keep`` with n_chars (code points) and fingerprint of the
-    whole text. Null is an empty text; its fingerprint is all zeros. Equal
-    texts have equal fingerprints; each row has its own. No shuffle."""
+    whole text (columns of these names are replaced). Null is an empty text;
+    its fingerprint is all zeros. Equal texts have equal fingerprints; each row has its own. No shuffle."""
+    keep = [c for c in keep if c not in ("n_chars", "fingerprint")]
     kept = docs.select(*keep, F.col(text_col).alias("print_text"))
-    fields = [f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]]
     made: list[Walker] = []
 
     def rows(batch: pa.RecordBatch) -> dict:

@@ -162,21 +162,21 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` of ``docs`` with lang_pred and score. A text that
-    is null, empty or without a letter is 'und' with score 0. Prediction sees
-    the text only; every row, repeated or not, gets its own result."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    kept = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
-    fields = [(c, kept.schema[c].dataType.simpleString()) for c in keep]
+    """The columns ``keep`` of ``docs`` with lang_pred and score (columns of
+    these names are replaced). A text that is null, empty or without a letter
+    is 'und' with score 0. Prediction sees the text only; every row, repeated
+    or not, gets its own result; no rows give no rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    keep = [c for c in keep if c not in ("lang_pred", "score")]
+    kept = docs.select(*keep, F.col(text_col).alias("lang_text"))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]]
 
     def rows(batch: pa.RecordBatch) -> dict:
         found = [shared.value.predict(t) for t in texts(batch.column(len(keep)))]
         return {c: batch.column(i) for i, c in enumerate(keep)} | {
             "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]}
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in [*fields, ("lang_pred", "string"), ("score", "double")])
-    return map_batches(kept, rows, schema)
+    return map_batches(kept, rows, ", ".join([*fields, "lang_pred string", "score double"]))
 
 
 def held_out(id_col: str = "doc_id"):
