@@ -1,0 +1,85 @@
+import math
+import zlib
+from collections import Counter
+
+from frames import no_documents, odd_documents
+
+from conftest import SF_MID
+from threadlens.llm import langid as L
+
+ROWS = [(1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr"), (3, None, "en"), (4, "der hund", None),
+        (5, "the the", "en"), (6, "le", "fr")]
+
+
+def slow_model(rows):
+    """score(lang, order, entry) by plain counting."""
+    counts = {}
+    for _, text, lang in rows:
+        if text is None or lang is None:
+            continue
+        for w in L.words_of(text):
+            counts.setdefault((lang, 0), Counter())[w] += 1
+            for n in range(1, L.LONGEST + 1):
+                counts.setdefault((lang, n), Counter()).update(L.grams_of(w, n))
+    langs = sorted({k[0] for k in counts})
+    score = lambda g, n, e: (-math.log10(counts[g, n][e] / counts[g, n].total())
+                             if counts.get((g, n), {}).get(e) else L.PENALTY)
+    known = lambda n, e: any(counts.get((g, n), {}).get(e) for g in langs)
+
+    def word(g, w):
+        if known(0, w):
+            return score(g, 0, w)
+        for n in range(L.LONGEST, 0, -1):
+            grams = [x for x in L.grams_of(w, n) if known(n, x)]
+            if grams:
+                return sum(score(g, n, x) for x in grams) / len(grams)
+        return L.PENALTY
+
+    def predict(text):
+        ws = L.words_of(text or "")
+        if not ws:
+            return "und", 0.0
+        mean = [sum(word(g, w) for w in ws) / len(ws) for g in langs]
+        best = min(range(len(langs)), key=lambda i: (mean[i], i))
+        return langs[best], 1 / sum(10 ** (mean[best] - m) for m in mean)
+
+    return predict
+
+
+def test_against_plain_counting(spark):
+    frame = spark.createDataFrame(ROWS, "doc_id long, text string, lang string")
+    predict, model = slow_model(ROWS), L.fit(frame)
+    for text in ["the dogs", "chats et chiens", "cat", "xyz", "", None, "1 2 !", "THE chat"]:
+        got, want = model.predict(text or ""), predict(text)
+        assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-9, text
+
+
+def test_query_on_held_out_documents(spark):
+    got = {r["doc_id"]: r for r in L.langid_query(spark, SF_MID).collect()}
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet").select("doc_id", "lang").collect()
+    assert len(got) == len(docs)
+    assert all(got[d["doc_id"]]["held_out"] == (zlib.crc32(str(d["doc_id"]).encode()) % 3 == 1) for d in docs)
+    held = [d for d in docs if got[d["doc_id"]]["held_out"]]
+    right = sum(got[d["doc_id"]]["lang_pred"] == d["lang"] for d in held)
+    assert held and right >= 0.99 * len(held)
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_bounds_hold(spark):
+    frame = spark.createDataFrame([(i, f"w{chr(97 + i % 26)}{chr(97 + i // 26)}", "en") for i in range(500)],
+                                  "doc_id long, text string, lang string")
+    assert len(L.fit(frame, max_words=50, max_grams=20).words) == 50
+    sampled = L.fit(frame, sample_docs=100)
+    assert 50 < len(sampled.words) < 200  # the bound holds as an expected number
+
+
+def test_odd_documents(spark):
+    docs = odd_documents(spark)
+    model = L.fit(docs)
+    got = L.identify(docs, model, docs.columns)
+    assert got.count() == docs.count() and got.schema["score"].dataType.simpleString() == "double"
+    und = {r["doc_id"] for r in got.filter("lang_pred = 'und'").collect()}
+    assert {2, 3, 4} <= und and got.filter("doc_id = 6 and lang_pred = 'en'").count() == 2
+    empty = L.fit(no_documents(spark))
+    assert empty.predict("some text") == ("und", 0.0)
+    assert L.identify(no_documents(spark), model, ["doc_id"]).count() == 0

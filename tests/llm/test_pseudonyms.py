@@ -1,0 +1,130 @@
+import datetime
+import hashlib
+import re
+
+from frames import no_documents, odd_documents
+from pyspark.sql import functions as F
+
+from conftest import SF_MID
+from threadlens.llm import pseudonyms as P
+
+KEY = "a key"
+
+
+def slow_feistel(label, left, right, a, b):
+    for i in range(1, P.ROUNDS + 1):
+        x = right if i % 2 else left
+        f = int(hashlib.sha256(f"{KEY}:{label}:{i}:{x}".encode()).hexdigest()[:15], 16)
+        if i % 2:
+            left = (left + f % a) % a
+        else:
+            right = (right + f % b) % b
+    return left, right
+
+
+def luhn(digits):
+    back = [int(c) for c in reversed(digits)]
+    return sum(d if i % 2 == 0 else (2 * d) % 10 + d // 5 for i, d in enumerate(back))
+
+
+def fill(layout, digits):
+    it = iter(digits)
+    return "".join(next(it) if c in "0123456789" else c for c in layout)
+
+
+def slow_pseudonym(hit):
+    if re.fullmatch(P.SHAPES["date"], hit):
+        iso = hit[4] == "-"
+        parts = hit.split("-") if iso else re.split("[./]", hit)[::-1]
+        try:
+            day = datetime.date(*map(int, parts))
+        except ValueError:
+            return None, hit
+        zero = datetime.date(1900, 1, 1)
+        hi, lo = slow_feistel("date", (day - zero).days // 4297, (day - zero).days % 4297, 17, 4297)
+        new = zero + datetime.timedelta(hi * 4297 + lo)
+        return "date", new.isoformat() if iso else new.strftime(f"%d{hit[2]}%m{hit[2]}%Y")
+    if re.fullmatch(P.SHAPES["ipv4"], hit):
+        o = list(map(int, hit.split(".")))
+        hi, lo = slow_feistel("ipv4", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
+        return "ipv4", f"{hi // 256}.{hi % 256}.{lo // 256}.{lo % 256}"
+    digits = re.sub("[^0-9]", "", hit)
+    if re.fullmatch(P.SHAPES["phone"], hit):
+        code, d = digits[:-10], digits[-10:]
+        hi, lo = slow_feistel("phone", int(d[:3]) - 200, (int(d[3:6]) - 200) * 10000 + int(d[6:]), 800, 8000000)
+        return "phone", fill(hit, f"{code}{hi + 200}{lo // 10000 + 200}{lo % 10000:04d}")
+    if re.fullmatch(P.SHAPES["ssn"], hit):
+        area, group, serial = map(int, hit.split("-"))
+        if not (1 <= area <= 899 and area != 666 and group and serial):
+            return None, hit
+        hi, lo = slow_feistel("ssn", area - 1 - (area > 666), (group - 1) * 9999 + serial - 1, 898, 99 * 9999)
+        return "ssn", f"{hi + 1 + (hi >= 665):03d}-{lo // 9999 + 1:02d}-{lo % 9999 + 1:04d}"
+    if luhn(digits) % 10:
+        return None, hit
+    n = len(digits) - 2
+    u = n // 2
+    hi, lo = slow_feistel(f"card{digits[0]}{len(digits)}", int(digits[1:1 + u]), int(digits[1 + u:-1]), 10 ** u, 10 ** (n - u))
+    body = f"{digits[0]}{hi:0{u}d}{lo:0{n - u}d}"
+    return "card", fill(hit, body + str((10 - luhn(body + "0") % 10) % 10))
+
+
+def slow_text(text):
+    found = [m for m in re.finditer(P.PATTERN, text or "")]
+    out, at, pii = [], 0, []
+    for m in found:
+        kind, new = slow_pseudonym(m[0])
+        out += [text[at:m.start()], new]
+        at = m.end()
+        if kind:
+            pii.append((kind, m[0], new))
+    return "".join(out) + (text or "")[at:], pii
+
+
+CASES = ["born 1999-12-31, 31.12.1999 or 31/12/1999; not 30.02.2001, 2001-02-30", "4111 1111 1111 1111, 4111111111111112",
+         "ssn 078-05-1120 666-12-1234 900-12-1234 667-01-0001", "tel (212) 555-0199 +1 212-555-0199 1 212.555.0199 (112) 555-0199",
+         "1.2.3.4.5 ip 10.0.0.1. (255.255.255.255) 256.1.1.1 01.2.3.4", "3782 822463 10005 6011111111111117 30569309025904",
+         "ü4111111111111111é 4111111111111111x", "4111111111111111 4111111111111111", None, "", "no value"]
+
+
+def test_against_plain_python(spark):
+    docs = spark.createDataFrame(list(enumerate(CASES)), "doc_id long, text string")
+    for r in P.pseudonymise(docs, KEY).collect():
+        text, pii = slow_text(CASES[r["doc_id"]])
+        assert (r["text"], [tuple(p) for p in r["pii"]]) == (text, pii), CASES[r["doc_id"]]
+
+
+def test_corpus_against_plain_python(spark):
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet").select("doc_id", "text")
+    original = {r["doc_id"]: r["text"] for r in docs.collect()}
+    found = P.pseudonymise(docs, KEY).collect()
+    assert len(found) == len(original) and sum(len(r["pii"]) for r in found) > 50
+    for r in found:
+        assert (r["text"], [tuple(p) for p in r["pii"]]) == slow_text(original[r["doc_id"]])
+    assert P.pseudonyms_query(spark, SF_MID).count() == len(original)
+
+
+def test_it_is_a_permutation(spark):
+    """All pairs of small halves map to all pairs, and another key to others."""
+    pairs = spark.range(17 * 23).select((F.col("id") % 17).alias("l"), F.floor(F.col("id") / 17).alias("r"))
+    image = lambda key: [tuple(x[0]) for x in pairs.select(P.feistel(
+        key, F.lit("x"), F.col("l"), F.col("r"), F.lit(17), F.lit(23))).collect()]
+    one, two = image("k1"), image("k2")
+    assert len(set(one)) == len(set(two)) == 17 * 23 and one != two
+    assert all(0 <= a < 17 and 0 <= b < 23 for a, b in one)
+
+
+def test_pseudonyms_validate_and_stay_linked(spark):
+    days = [(datetime.date(1900, 1, 1) + datetime.timedelta(7 * i)).isoformat() for i in range(3000)]
+    docs = spark.createDataFrame([(i, f"{d} x {d}") for i, d in enumerate(days)], "doc_id long, text string")
+    rows = P.pseudonymise(docs, KEY).collect()
+    new = {r["pii"][0]["new"] for r in rows}
+    assert len(new) == len(days) and all(datetime.date.fromisoformat(d) for d in new)
+    assert all(r["text"] == f"{r['pii'][0]['new']} x {r['pii'][0]['new']}" for r in rows)
+
+
+def test_odd_documents(spark):
+    docs = odd_documents(spark, extra="pii string, kind string, hit string")
+    got = P.pseudonymise(docs, KEY)
+    assert got.count() == docs.count() and got.filter(F.size("pii") > 0).count() == 0
+    assert got.filter("text is null").count() == 0 and got.columns.count("pii") == 1
+    assert P.pseudonymise(no_documents(spark), KEY).count() == 0
