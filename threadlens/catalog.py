@@ -8,15 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.functions.clean import strip_non_ascii
+from threadlens.functions.clean import not_blocked, strip_non_ascii
 from threadlens.operators import quality as Q
 from threadlens.operators.joins import key_overlap
 from threadlens.plans import compare, engagement as E, report as R, users as U
 from threadlens.session import scratch_path
 from threadlens.sources import fixtures as FX
-from threadlens.sources.readers import read_doc_topic, select_cols
-from threadlens.sources.sinks import write_table
-from threadlens.sources.tables import ARTICLE_COLS, table
+from threadlens.sources.readers import read_cols, read_doc_topic, union_sheets
+from threadlens.sources.sinks import materialize, read_topic_sheets, write_table, write_topic_sheets
+from threadlens.sources.tables import ARTICLE_COLS, COMMENT_COLS, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,35 +27,40 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def _inputs(spark, d):
-    return (FX.comments(spark, d), FX.reactions(spark, d), FX.articles(spark, d),
+def _inputs(spark, d, url: bool = True):
+    return (FX.open_comments(spark, d), FX.reactions(spark, d), FX.articles(spark, d, url),
             FX.doc_topic(spark, d))
 
 
-def _compiled(spark, d) -> DataFrame:
-    return E.compile_engagement(*_inputs(spark, d))
+def _key_rows(spark, d, doc_topic: DataFrame | None = None) -> DataFrame:
+    """The compiled rows by keys, written once: several windows read them."""
+    c, r, a, t = _inputs(spark, d)
+    return materialize(E.compile_keys(c, r, a, t if doc_topic is None else doc_topic), "compiled_keys")
+
+
+def _full(spark, d, rows: DataFrame) -> DataFrame:
+    return E.with_articles(rows, FX.articles(spark, d))
 
 
-def _top(spark, d) -> DataFrame:
-    return R.top_comments(_compiled(spark, d))
+def _top(spark, d, doc_topic: DataFrame | None = None) -> DataFrame:
+    """The report's rows with their articles' texts."""
+    return _full(spark, d, R.top_comments(_key_rows(spark, d, doc_topic), reuse_input=False))
+
+
+def _top_keys(spark, d) -> DataFrame:
+    """The report's rows by keys (for jobs that use no text)."""
+    c, r, a, t = _inputs(spark, d, url=False)
+    return R.top_comments(E.compile_keys(c, r, a, t))
 
 
 # ---- sources, cleaning, filters -------------------------------------------
 
 @query
 def q_read_cols(spark, d):
-    """Article sheet columns, nulls as 'missing', all text."""
-    docs = table(spark, d, "documents").filter(F.col("doc_id") % 10 != FX.ARTICLE_DROP_REMAINDER)
-    pages = table(spark, d, "pages").select("page_id", "url")
-    raw = docs.join(pages, docs.doc_id == pages.page_id, "left").select(
-        F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("title"),
-        F.lit(None).cast("string").alias("published_date"),
-        F.col("text").alias("description"),
-        F.col("url").alias("canonical_url"),
-        F.col("doc_id").alias("conversation_id"),
-        F.lit(None).cast("string").alias("thumbnail_url"),
-        F.col("lang"))
-    return select_cols(raw, ARTICLE_COLS)
+    """The article sheet's columns from a written table that has
+    others too, nulls as 'missing', all text."""
+    raw = FX.articles_raw(spark, d).withColumn("other", F.lit(1))
+    return read_cols(spark, write_table(raw, scratch_path(spark, "articles")), ARTICLE_COLS)
 
 
 @query
@@ -66,7 +71,9 @@ def q_strip_non_ascii(spark, d):
 
 @query
 def q_filter_blocked(spark, d):
-    return E.filter_blocked(FX.comments(spark, d))
+    """P3 on a written comment sheet: the filter on the raw column reaches the scan."""
+    path = write_table(FX.comments_raw(spark, d), scratch_path(spark, "comments"))
+    return read_cols(spark, path, COMMENT_COLS, where=not_blocked("final_state"))
 
 
 @query
@@ -77,7 +84,8 @@ def q_blocked_count(spark, d):
 @query
 def q_distinct_counts(spark, d):
     c = Q.distinct_counts(FX.comments(spark, d), ["conversation_id"], "comments")
-    a = Q.distinct_counts(FX.articles(spark, d), ["title", "description"], "articles")
+    a = FX.articles(spark, d, url=False).select("title", E.text_key("description").alias("description"))
+    a = Q.distinct_counts(a, ["title", "description"], "articles")
     return c.unionByName(a)
 
 
@@ -90,7 +98,7 @@ def q_clean_counts(spark, d):
 
 @query
 def q_comments_reactions_left(spark, d):
-    return E.comments_reactions_left(FX.comments(spark, d), FX.reactions(spark, d))
+    return E.comments_reactions_left(FX.open_comments(spark, d), FX.reactions(spark, d))
 
 
 @query
@@ -101,13 +109,13 @@ def q_comments_articles_left(spark, d):
 
 @query
 def q_engaged_descriptions(spark, d):
-    c, r, a, _ = _inputs(spark, d)
+    c, r, a, _ = _inputs(spark, d, url=False)
     return E.engaged_descriptions(c, r, a)
 
 
 @query
 def q_reactions_right_join(spark, d):
-    return E.reactions_right_join(FX.comments(spark, d), FX.reactions(spark, d))
+    return E.reactions_right_join(FX.open_comments(spark, d), FX.reactions(spark, d))
 
 
 @query
@@ -117,17 +125,17 @@ def q_description_topic_join(spark, d):
 
 @query
 def q_compile_engagement(spark, d):
-    return _compiled(spark, d)
+    return E.compile_engagement(*_inputs(spark, d))
 
 
 @query
 def q_key_overlap(spark, d):
-    c, r, a, t = _inputs(spark, d)
-    c = E.filter_blocked(c)
+    c, r, a, t = _inputs(spark, d, url=False)
+    a, t = a.withColumn("k", E.text_key("description")), t.select(E.text_key("Document_description").alias("k"))
     parts = [
         key_overlap(c, "conv_message_id", r, "message_id").select(F.lit("message_id").alias("pair"), "overlap"),
         key_overlap(c, "conversation_id", a, "conversation_id").select(F.lit("conversation_id").alias("pair"), "overlap"),
-        key_overlap(a, "description", t, "Document_description").select(F.lit("description").alias("pair"), "overlap"),
+        key_overlap(a, "k", t, "k").select(F.lit("description").alias("pair"), "overlap"),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -136,17 +144,35 @@ def q_key_overlap(spark, d):
 
 @query
 def q_missing_topic_stats(spark, d):
-    return Q.missing_topic_stats(E.joined_outer(*_inputs(spark, d)))
+    return Q.missing_topic_stats(E.topic_of_reactions(*_inputs(spark, d, url=False)))
 
 
 @query
 def q_null_counts(spark, d):
-    return Q.null_counts(E.joined_outer(*_inputs(spark, d)))
+    """A7 on doc_topic."""
+    return Q.null_counts(FX.doc_topic(spark, d))
 
 
 @query
 def q_duplicate_rows(spark, d):
-    return Q.duplicate_rows(E.joined_outer(*_inputs(spark, d)))
+    """A9 on doc_topic."""
+    return Q.duplicate_rows(FX.doc_topic(spark, d))
+
+
+@query
+def q_compiled_uniqueness(spark, d):
+    """A10: are the compiled rows unique?"""
+    return Q.uniqueness(_key_rows(spark, d))
+
+
+@query
+def q_topic_column_check(spark, d):
+    """Which inputs have the Topic column that the report needs."""
+    frames = {"compiled": E.compile_keys(*_inputs(spark, d)), "comments": FX.open_comments(spark, d)}
+    parts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        F.lit(name).alias("source"), "n_rows", F.lit("Topic" in df.columns).alias("has_topic"))
+        for name, df in frames.items()]
+    return parts[0].unionByName(parts[1])
 
 
 # ---- doc_topic -------------------------------------------------------------
@@ -175,30 +201,46 @@ def q_doc_topic_scan(spark, d):
     return read_doc_topic(spark, path)
 
 
+@query
+def q_topic_summary_scan(spark, d):
+    """The model's second hand-off, the topic summary, written and read back."""
+    from threadlens.operators.terms import topic_info
+
+    path = write_table(topic_info(FX.doc_topic(spark, d)), scratch_path(spark, "topic_summary"))
+    return spark.read.schema("Topic int, Count long, Name string").parquet(path)
+
+
 # ---- report ----------------------------------------------------------------
 
 @query
 def q_top_rows_per_topic(spark, d):
-    return R.top_rows_per_topic(_compiled(spark, d))
+    return _full(spark, d, R.top_rows_per_topic(_key_rows(spark, d)))
+
+
+def _semi(spark, d) -> DataFrame:
+    rows = _key_rows(spark, d)
+    return R.semi_top_conversations(rows, R.top_rows_per_topic(rows))
 
 
 @query
 def q_semi_top_conversations(spark, d):
-    compiled = _compiled(spark, d)
-    return R.semi_top_conversations(compiled, R.top_rows_per_topic(compiled))
+    return _full(spark, d, _semi(spark, d))
 
 
 @query
 def q_top_comments_per_conversation(spark, d):
-    compiled = _compiled(spark, d)
-    rows = R.semi_top_conversations(compiled, R.top_rows_per_topic(compiled))
-    return R.top_comments_per_conversation(rows)
+    return _full(spark, d, R.top_comments_per_conversation(_semi(spark, d)))
 
 
 @query
 def q_dedupe_keep_first(spark, d):
-    compiled = _compiled(spark, d)
-    return R.dedupe_keep_first(R.semi_top_conversations(compiled, R.top_rows_per_topic(compiled)))
+    return _full(spark, d, R.dedupe_keep_first(_semi(spark, d)))
+
+
+@query
+def q_top_articles_by_likes(spark, d):
+    """W1 by article (option): the articles of each topic with the most likes in total."""
+    return R.top_articles_by_likes(_key_rows(spark, d))
 
 
 @query
@@ -221,20 +263,26 @@ def q_hec_wide(spark, d):
 
 @query
 def q_topic_report(spark, d):
-    return R.topic_report(_compiled(spark, d))
+    return R.topic_report(_top(spark, d))
 
 
 @query
 def q_topic_sheets(spark, d):
-    return R.topic_sheets(spark, _compiled(spark, d))
+    return R.topic_sheets(spark, _top(spark, d))
 
 
 @query
 def q_sheets_union(spark, d):
-    """The written sheets read back as one frame (the folder holds one
-    sub-folder per sheet; reading it is the union by column name)."""
-    sheets = R.topic_sheets(spark, _compiled(spark, d))
-    return sheets.select("sheet_name", "conversation_id", "Topic")
+    """Each sheet of a written report read as a frame of its own, then
+    the union by column name (one sheet for each topic)."""
+    path = scratch_path(spark, "topic_sheets")
+    wide = R.hec_wide(_top(spark, d))
+    write_topic_sheets(wide, path)
+    names = [r[0] for r in read_topic_sheets(spark, path, wide.schema).select("sheet_name").distinct()
+             .orderBy("sheet_name").collect()]
+    sheets = [spark.read.schema(wide.schema).parquet(f"{path}/sheet_name={n}").withColumn("sheet_name", F.lit(n))
+              for n in names]
+    return union_sheets(sheets).select("sheet_name", "conversation_id", "Topic")
 
 
 # ---- users -----------------------------------------------------------------
@@ -256,31 +304,31 @@ def q_user_conversation_rank(spark, d):
 
 @query
 def q_convo_topic_map(spark, d):
-    return U.convo_topic_map(_top(spark, d))
+    return U.convo_topic_map(_top_keys(spark, d))
 
 
 @query
 def q_top_topic_per_user(spark, d):
-    return U.top_topic_per_user(FX.comments_history(spark, d), _top(spark, d))
+    return U.top_topic_per_user(FX.comments_history(spark, d), _top_keys(spark, d))
 
 
 @query
 def q_null_fractions(spark, d):
-    return Q.null_fractions(U.top_topic_per_user(FX.comments_history(spark, d), _top(spark, d)))
+    return Q.null_fractions(U.top_topic_per_user(FX.comments_history(spark, d), _top_keys(spark, d)))
 
 
 # ---- model comparison ------------------------------------------------------
 
 @query
 def q_compare_models(spark, d):
-    return compare.compare_models(FX.doc_topic(spark, d), FX.doc_topic(spark, d, even_only=True),
+    return compare.compare_models(FX.doc_topic(spark, d), FX.doc_topic(spark, d, other_model=True),
                                   "main_model", "other_model")
 
 
 @query
 def q_topic_coverage(spark, d):
     return compare.topic_coverage(
-        {"main_model": FX.doc_topic(spark, d), "other_model": FX.doc_topic(spark, d, even_only=True)},
+        {"main_model": FX.doc_topic(spark, d), "other_model": FX.doc_topic(spark, d, other_model=True)},
         FX.articles(spark, d))
 
 
@@ -370,7 +418,7 @@ def q_topic_model(spark, d):
     over density levels (outliers -1, dropped as M1 does) → at most 6 topics."""
     from threadlens.plans.topics import topic_model
 
-    c, r, a, _ = _inputs(spark, d)
+    c, r, a, _ = _inputs(spark, d, url=False)
     doc_topic, _ = topic_model(E.engaged_descriptions(c, r, a), "description", clusterer="hierarchy")
     return doc_topic
 
@@ -380,7 +428,7 @@ def q_topic_model_kmeans(spark, d):
     """M1 with the fast clusterer (F2): TF-IDF → k-means, 6 topics."""
     from threadlens.plans.topics import topic_model
 
-    c, r, a, _ = _inputs(spark, d)
+    c, r, a, _ = _inputs(spark, d, url=False)
     doc_topic, _ = topic_model(E.engaged_descriptions(c, r, a), "description", clusterer="kmeans")
     return doc_topic
 
@@ -412,6 +460,6 @@ def q_modelled_topic_report(spark, d):
     descriptions (M11), its doc_topic into the report (D5)."""
     from threadlens.plans.topics import topic_model
 
-    c, r, a, _ = _inputs(spark, d)
+    c, r, a, _ = _inputs(spark, d, url=False)
     doc_topic, _ = topic_model(E.engaged_descriptions(c, r, a), "description", clusterer="hierarchy")
-    return R.topic_report(E.compile_engagement(c, r, a, doc_topic))
+    return R.topic_report(_top(spark, d, doc_topic))

@@ -119,15 +119,21 @@ UNION ALL SELECT 'description', count(*) FROM (SELECT description FROM articles
 _q("missing_topic_stats", BASE, """
 SELECT count(*) FILTER (WHERE COALESCE(Topic, -1) = -1) AS n_missing_topic, count(*) AS n_rows FROM joined""",
    [COMMENTS_NB, JOINED_OUTER])
-_JOINED_COLS = ["conversation_id", "conv_message_id", "author_id", "written_date", "text_content",
-                "final_state", "message_id", "total_views", "total_likes", "title", "published_date",
-                "description", "canonical_url", "thumbnail_url", "Topic", "Document_description"]
-_q("null_counts", BASE, "\nUNION ALL ".join(
-    f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS n_null FROM joined"
-    for c in _JOINED_COLS), [COMMENTS_NB, JOINED_OUTER])
-_q("duplicate_rows", BASE, """
-SELECT CAST(COALESCE(sum(n - 1), 0) AS BIGINT) AS n_duplicates FROM (SELECT count(*) AS n FROM joined GROUP BY ALL_COLS)"""
-   .replace("ALL_COLS", ", ".join(_JOINED_COLS)), [COMMENTS_NB, JOINED_OUTER])
+_q("null_counts", ["doc_topic"], """
+SELECT 'Topic' AS column_name, count(*) FILTER (WHERE Topic IS NULL) AS n_null FROM doc_topic
+UNION ALL SELECT 'Document_description', count(*) FILTER (WHERE Document_description IS NULL) FROM doc_topic""")
+_q("duplicate_rows", ["doc_topic"], """
+SELECT CAST(COALESCE(sum(n - 1), 0) AS BIGINT) AS n_duplicates
+FROM (SELECT count(*) AS n FROM doc_topic GROUP BY Topic, Document_description)""")
+_q("compiled_uniqueness", BASE, """
+SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_distinct, sum(n) = count(*) AS is_unique
+FROM (SELECT count(*) AS n FROM compiled GROUP BY ALL)""".replace("GROUP BY ALL", "GROUP BY " + ", ".join([
+    "title", "description", "published_date", "canonical_url", "thumbnail_url", "Topic", "written_date",
+    "conversation_id", "conv_message_id", "author_id", "text_content", "final_state", "message_id", "total_views",
+    "total_likes"])), [COMMENTS_NB, JOINED_OUTER, COMPILED])
+_q("topic_column_check", BASE, """
+SELECT 'compiled' AS source, count(*) AS n_rows, true AS has_topic FROM compiled
+UNION ALL SELECT 'comments', count(*), false FROM comments_nb""", [COMMENTS_NB, JOINED_OUTER, COMPILED])
 
 _q("drop_outliers", ["doc_topic"], "SELECT * FROM doc_topic WHERE Topic <> -1")
 _q("topic_counts", ["doc_topic"], "SELECT Topic, count(*) AS Count FROM doc_topic GROUP BY Topic ORDER BY Topic")
@@ -138,6 +144,11 @@ _q("top_rows_per_topic", BASE, "SELECT * FROM top_rows", REPORT_CTES[:4])
 _q("semi_top_conversations", BASE, "SELECT * FROM semi_rows", REPORT_CTES[:5])
 _q("top_comments_per_conversation", BASE, "SELECT * FROM top4", REPORT_CTES[:6])
 _q("dedupe_keep_first", BASE, _dedupe("semi_rows"), REPORT_CTES[:5])
+_q("top_articles_by_likes", BASE, """
+SELECT Topic, conversation_id, total_likes FROM (
+  SELECT *, row_number() OVER (PARTITION BY Topic ORDER BY total_likes DESC, conversation_id) AS rn FROM (
+    SELECT Topic, conversation_id, CAST(sum(total_likes) AS BIGINT) AS total_likes FROM compiled
+    GROUP BY Topic, conversation_id)) WHERE rn <= 10""", [COMMENTS_NB, JOINED_OUTER, COMPILED])
 _q("top_comments", BASE, "SELECT * FROM top_comments", REPORT_CTES)
 _q("article_level_distinct", BASE, f"SELECT DISTINCT {', '.join(ARTICLE_LEVEL)} FROM top_comments", REPORT_CTES)
 _q("hec_wide", BASE, "SELECT * FROM hec", REPORT_CTES + [HEC_WIDE])
@@ -162,7 +173,7 @@ USERS = BASE + ["comments_history"]
 
 _q("user_conversation_counts", ["comments_history"], "SELECT * FROM counts", [COUNTS])
 _q("top_conversations", ["comments_history"],
-   'SELECT * FROM counts ORDER BY "count" DESC, user_id, conversation_id LIMIT 100', [COUNTS])
+   'SELECT * FROM counts ORDER BY "count" DESC, user_id, conversation_id', [COUNTS])
 _q("user_conversation_rank", ["comments_history"], "SELECT * FROM ranked", [COUNTS, RANKED])
 _q("convo_topic_map", BASE, "SELECT * FROM topic_map", REPORT_CTES + [TOPIC_MAP])
 _q("top_topic_per_user", USERS, "SELECT * FROM per_user", REPORT_CTES + [COUNTS, RANKED, TOPIC_MAP, BEST])
@@ -172,16 +183,16 @@ _q("null_fractions", USERS, "\nUNION ALL ".join(
                  ("rank", '"rank"'), ("topic", "topic")]),
    REPORT_CTES + [COUNTS, RANKED, TOPIC_MAP, BEST])
 
-_q("compare_models", ["doc_topic", "doc_topic_even"], """
+_q("compare_models", ["doc_topic", "doc_topic_other"], """
 SELECT COALESCE(a.position, b.position) AS position, a.main_model, b.other_model FROM
   (SELECT row_number() OVER (ORDER BY Document_description, Topic) AS position, Document_description AS main_model FROM doc_topic) a
   FULL JOIN
-  (SELECT row_number() OVER (ORDER BY Document_description, Topic) AS position, Document_description AS other_model FROM doc_topic_even) b
+  (SELECT row_number() OVER (ORDER BY Document_description, Topic) AS position, Document_description AS other_model FROM doc_topic_other) b
   ON a.position = b.position""")
-_q("topic_coverage", ["doc_topic", "doc_topic_even", "articles"], """
+_q("topic_coverage", ["doc_topic", "doc_topic_other", "articles"], """
 SELECT 'main_model' AS model, count(*) AS n_articles_with_topic FROM articles a JOIN doc_topic t ON t.Document_description = a.description
 UNION ALL
-SELECT 'other_model', count(*) FROM articles a JOIN doc_topic_even t ON t.Document_description = a.description""")
+SELECT 'other_model', count(*) FROM articles a JOIN doc_topic_other t ON t.Document_description = a.description""")
 
 # ---- topic terms -------------------------------------------------------------
 
@@ -206,6 +217,8 @@ LEFT JOIN (SELECT Topic, string_agg(term, '_' ORDER BY "rank") AS words FROM ran
   USING (Topic)
 WHERE c.Count > 0 AND c.Topic <> -1""", CTFIDF)
 
+ORACLE["topic_summary_scan"] = ORACLE["topic_info"]
+
 # ---- neighbours and density clusters --------------------------------------------
 
 PAIRS = """pts AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),

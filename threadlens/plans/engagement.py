@@ -7,7 +7,7 @@ comments, reactions, articles, doc_topic.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.functions.clean import clean_count, not_blocked, topic_or_outlier
@@ -35,6 +35,18 @@ def comments_articles_left(comments: DataFrame, reactions: DataFrame, articles:
     return join_on(comments_reactions_left(comments, reactions), articles, "conversation_id", "left")
 
 
+def text_key(c) -> Column:
+    """Digest that stands for a whole text in joins and aggregates (SURVEY's
+    hash key for J5): equal digests are equal texts."""
+    return F.sha2(F.col(c) if isinstance(c, str) else c, 256)
+
+
+def with_article_key(articles: DataFrame) -> DataFrame:
+    """Articles with ``article_key``, a digest of the whole row: it travels
+    through joins and windows in place of the article's texts."""
+    return articles.withColumn("article_key", text_key(F.to_json(F.struct(*articles.columns))))
+
+
 def engaged_descriptions(comments: DataFrame, reactions: DataFrame, articles: DataFrame) -> DataFrame:
     """Distinct descriptions of articles that have a non-blocked comment
     with a reaction.
@@ -60,36 +72,80 @@ def reactions_right_join(comments: DataFrame, reactions: DataFrame) -> DataFrame
 
 
 def description_topic_join(articles: DataFrame, doc_topic: DataFrame) -> DataFrame:
-    """Articles LEFT JOIN doc_topic on description = Document_description."""
-    return join_keys(articles, doc_topic, "description", "Document_description", "left")
+    """Articles LEFT JOIN doc_topic on description = Document_description.
+    The join key is the texts' digest, so only the articles carry their text."""
+    topics = doc_topic.select("Topic", text_key("Document_description").alias("__key"))
+    keyed = articles.withColumn("__key", text_key("description"))
+    j = keyed.join(topics.withColumn("__found", F.lit(True)), "__key", "left")
+    return j.withColumn("Document_description", F.when(F.col("__found"), F.col("description"))).drop("__key", "__found")
+
+
+def topics_of_articles(articles: DataFrame, doc_topic: DataFrame) -> DataFrame:
+    """(conversation_id, title, Topic, article_key) of the articles that have
+    a topic of 0 or more; no long text."""
+    topics = doc_topic.filter(F.col("Topic") >= 0).select("Topic", text_key("Document_description").alias("__key"))
+    return (with_article_key(articles)
+            .select("conversation_id", "title", "article_key", text_key("description").alias("__key"))
+            .join(topics, "__key").drop("__key"))
 
 
 def joined_outer(comments: DataFrame, reactions: DataFrame, articles: DataFrame,
                  doc_topic: DataFrame) -> DataFrame:
-    """J3–J5 as written by the reference (outer joins). Used for the
-    missing-topic measure, which needs the unmatched rows."""
-    j = reactions_right_join(comments, reactions)
-    j = join_on(j, articles, "conversation_id", "left")
-    return join_keys(j, doc_topic, "description", "Document_description", "left")
+    """J3–J5 as written by the reference (outer joins). Reactions without a
+    comment have no key for the later joins: they are split off first and
+    united at the end, instead of meeting in one task as null keys."""
+    open_comments = filter_blocked(comments)
+    matched = join_keys(open_comments, reactions, "conv_message_id", "message_id", "inner")
+    lone = reactions.join(open_comments.select(F.col("conv_message_id").alias("message_id")), "message_id", "left_anti")
+    j = description_topic_join(join_on(matched, articles, "conversation_id", "left"), doc_topic)
+    return j.unionByName(lone, allowMissingColumns=True)
 
 
-def compile_engagement(comments: DataFrame, reactions: DataFrame, articles: DataFrame,
+def topic_of_reactions(comments: DataFrame, reactions: DataFrame, articles: DataFrame,
                        doc_topic: DataFrame) -> DataFrame:
-    """Rows with a topic (>= 0), counts cleaned, 15 columns in report order.
+    """One row (Topic) for each row of ``joined_outer``: keys only."""
+    keys = articles.select("conversation_id", text_key("description").alias("__key"))
+    topics = doc_topic.select("Topic", text_key("Document_description").alias("__key"))
+    comments = filter_blocked(comments).select("conversation_id", "conv_message_id")
+    reactions = reactions.select("message_id")
+    matched = join_keys(comments, reactions, "conv_message_id", "message_id", "inner").select("conversation_id")
+    lone = reactions.join(comments.select(F.col("conv_message_id").alias("message_id")), "message_id", "left_anti")
+    known = matched.join(keys.join(topics, "__key", "left").drop("__key"), "conversation_id", "left").select("Topic")
+    return known.unionByName(lone.select(F.lit(None).cast("int").alias("Topic")))
+
+
+#: What ``compile_keys`` keeps of a comment and its reaction, and of its article.
+KEY_COLS = ["article_key", "title", "Topic", "written_date", "conversation_id", "conv_message_id", "author_id",
+            "text_content", "final_state", "message_id", "total_views", "total_likes"]
+
+
+def compile_keys(comments: DataFrame, reactions: DataFrame, articles: DataFrame, doc_topic: DataFrame) -> DataFrame:
+    """D2 without the article's texts: rows with a topic (>= 0), counts
+    cleaned, the article as its key.
 
     ``Topic >= 0`` removes every row an outer join would add, so the data
     path is inner joins, ordered small-first: articles with a topic, then the
     comments of those conversations, then their reactions. The big
     comment-reaction join only sees comments of topic'd articles."""
-    topics = doc_topic.filter(F.col("Topic") >= 0)
-    topic_articles = join_keys(articles, topics, "description", "Document_description", "inner")
-    with_comments = join_on(filter_blocked(comments), topic_articles, "conversation_id", "inner")
+    with_comments = join_on(filter_blocked(comments), topics_of_articles(articles, doc_topic), "conversation_id", "inner")
     j = join_keys(with_comments, reactions, "conv_message_id", "message_id", "inner")
     return j.select(*[
         topic_or_outlier("Topic").alias("Topic") if c == "Topic"
         else clean_count(c).alias(c) if c in ("total_views", "total_likes")
         else F.col(c)
-        for c in COMPILED_COLS])
+        for c in KEY_COLS])
+
+
+def with_articles(rows: DataFrame, articles: DataFrame) -> DataFrame:
+    """Rows of ``compile_keys``, or some of them, with their article's columns, in report order."""
+    found = with_article_key(articles).drop("title", "conversation_id").dropDuplicates(["article_key"])
+    return rows.join(found, "article_key").select(*COMPILED_COLS)
+
+
+def compile_engagement(comments: DataFrame, reactions: DataFrame, articles: DataFrame,
+                       doc_topic: DataFrame) -> DataFrame:
+    """Rows with a topic (>= 0), counts cleaned, 15 columns in report order."""
+    return with_articles(compile_keys(comments, reactions, articles, doc_topic), articles)
 
 
 def compile_engagement_outer(comments: DataFrame, reactions: DataFrame, articles: DataFrame,

@@ -1,12 +1,11 @@
 """Each user's most engaged conversation that has a topic.
 
-Plan: one aggregate (user, conversation) → count; dense rank of the counts per
-user (over all conversations, before the topic filter, as in the reference);
-topic per conversation from the report (largest Topic wins, as the
-reference's dict built from ascending sheets does); first conversation with a
-topic per user by (count desc, conversation_id asc) as an aggregate
-(``min_by``, partial before the shuffle, so a very active user is no hot task);
-all users kept with a left join.
+Plan: one aggregate (user, conversation) → count, written once; dense rank of
+the counts per user (over all conversations, before the topic filter, as in
+the reference); topic per conversation from the report (largest Topic wins, as
+the reference's dict built from ascending sheets does); first conversation with
+a topic per user by (count desc, conversation_id asc), with a partial limit
+before the shuffle; all users kept with a left join.
 """
 
 from __future__ import annotations
@@ -14,58 +13,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.operators.ranking import dense_rank_desc
+from threadlens.operators.ranking import dense_rank_desc, top_k_per_group
 from threadlens.sources.sinks import materialize
 
-TOP_CONVERSATIONS_N = 100   # rows shown by the "top conversations" view
-
 
 def user_conversation_counts(history: DataFrame) -> DataFrame:
     """A5: comments per (user_id, conversation_id); the sentinel user is a group."""
     return history.groupBy("user_id", "conversation_id").agg(F.count(F.lit(1)).alias("count"))
 
 
-def top_conversations(history: DataFrame, n: int = TOP_CONVERSATIONS_N) -> DataFrame:
-    """O2: the most commented (user, conversation) pairs; ties by user_id,
-    conversation_id. With the limit this is a per-task top-n, then a merge."""
-    counts = user_conversation_counts(history)
-    return counts.orderBy(F.col("count").desc(), "user_id", "conversation_id").limit(n)
-
+def top_conversations(history: DataFrame) -> DataFrame:
+    """O2: all (user, conversation) pairs, most comments first; ties by
+    user_id, conversation_id. A range-partitioned sort."""
+    return user_conversation_counts(history).orderBy(F.col("count").desc(), "user_id", "conversation_id")
 
-def user_conversation_rank(history: DataFrame, reuse_counts: bool = False) -> DataFrame:
-    """Counts with the dense rank (1 = most comments) per user.
 
-    The counts are read twice (distinct count levels, then the join back);
-    ``reuse_counts`` writes them once to the shared folder first."""
-    counts = user_conversation_counts(history)
-    if reuse_counts:
-        counts = materialize(counts, "user_conversation_counts")
+def rank_conversations(counts: DataFrame) -> DataFrame:
     ranked = dense_rank_desc(counts, ["user_id"], "count", "rank")
     return ranked.select("user_id", "conversation_id", "count", F.col("rank").cast("int").alias("rank"))
 
 
+def user_conversation_rank(history: DataFrame) -> DataFrame:
+    """Counts with the dense rank (1 = most comments) per user."""
+    return rank_conversations(user_conversation_counts(history))
+
+
 def convo_topic_map(report_rows: DataFrame) -> DataFrame:
     """Topic per conversation from the report rows; the largest Topic wins."""
     return (report_rows.filter(F.col("conversation_id").isNotNull())
             .groupBy("conversation_id").agg(F.max(F.col("Topic").cast("int")).alias("topic")))
 
 
-def conversation_counts_with_topic(history: DataFrame, report_rows: DataFrame) -> DataFrame:
-    # the counts are read twice by the rank (levels, join back): one write
-    ranked = user_conversation_rank(history, reuse_counts=True)
-    return ranked.join(convo_topic_map(report_rows), "conversation_id", "left")
-
-
 def top_topic_per_user(history: DataFrame, report_rows: DataFrame) -> DataFrame:
     """One row per user (user_id, conversation_id, count, rank, topic);
-    users without a conversation that has a topic get nulls."""
-    counts = conversation_counts_with_topic(history, report_rows)
-    with_topic = counts.filter(F.col("topic").isNotNull())
-    # first row per user in (count desc, conversation_id asc): min of a sort key
-    key = F.struct((-F.col("count")).alias("k1"), F.col("conversation_id").alias("k2"))
-    best = (with_topic.groupBy("user_id")
-            .agg(F.min_by(F.struct("conversation_id", "count", "rank", "topic"), key).alias("b"))
-            .select("user_id", "b.*"))
-    users = history.select("user_id").distinct()   # two columns of the scan, partial aggregate
-    return users.join(best, "user_id", "left").select(
-        "user_id", "conversation_id", "count", "rank", "topic")
+    users without a conversation that has a topic get nulls. The history is
+    read once: the written counts also list its users."""
+    counts = materialize(user_conversation_counts(history), "user_conversation_counts")
+    with_topic = rank_conversations(counts).join(convo_topic_map(report_rows), "conversation_id")
+    best = top_k_per_group(with_topic, ["user_id"], [F.col("count").desc(), F.col("conversation_id").asc()], 1)
+    users = counts.select("user_id").distinct()
+    return users.join(best, "user_id", "left").select("user_id", "conversation_id", "count", "rank", "topic")

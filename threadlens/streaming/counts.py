@@ -7,7 +7,6 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from threadlens.plans.users import user_conversation_counts
-from threadlens.session import scratch_path
 from threadlens.sources.readers import select_cols
 from threadlens.sources.tables import HISTORY_COLS
 
@@ -23,13 +22,14 @@ def user_conversation_counts_stream(spark: SparkSession, history_dir: str, schem
 
 
 def start_user_conversation_counts(spark: SparkSession, history_dir: str, schema: StructType,
-                                   sink, checkpoint_location: str | None = None,
+                                   sink, checkpoint_location: str,
                                    output_mode: str = "update", available_now: bool = True) -> StreamingQuery:
     """Start the query; ``sink(batch_df, batch_id)`` receives the changed
-    counts of each micro-batch (``foreachBatch``)."""
+    counts of each micro-batch (``foreachBatch``). ``checkpoint_location`` is a
+    lasting shared folder: a restart goes on from it."""
     counts = user_conversation_counts_stream(spark, history_dir, schema)
     writer = (counts.writeStream.outputMode(output_mode).foreachBatch(sink)
-              .option("checkpointLocation", checkpoint_location or scratch_path(spark, "stream_counts")))
+              .option("checkpointLocation", checkpoint_location))
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
