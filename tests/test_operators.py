@@ -77,8 +77,17 @@ def test_wide_slots_pads_short_groups(spark):
     got = {r.k: r for r in wide.collect()}
     assert got["a"]["HEC1_msg"] == "m1" and got["a"]["HEC2_msg"] == "m2" and got["a"]["HEC3_msg"] is None
     assert got["b"]["HEC1_likes"] == 3 and got["b"]["HEC2_likes"] is None
-    with pytest.raises(AssertionError):
-        wide_slots(df, ["k"], ["msg"], [F.col("msg").asc()], 3, strict=True)
+    with pytest.raises(Exception, match="fewer than 3 rows"):
+        wide_slots(df, ["k"], ["msg"], [F.col("msg").asc()], 3, strict=True).collect()
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_wide_slots_never_cut_a_group(spark, strict):
+    df = spark.createDataFrame([("a", f"m{i}") for i in range(6)], "k string, msg string")
+    with pytest.raises(Exception, match="more than 4 rows"):
+        wide_slots(df, ["k"], ["msg"], [F.col("msg").asc()], 4, strict=strict).collect()
+    full = wide_slots(df, ["k"], ["msg"], [F.col("msg").asc()], 6, strict=True).first()
+    assert [full[f"HEC{i}_msg"] for i in range(1, 7)] == [f"m{i}" for i in range(6)]
 
 
 def test_empty_report_is_an_error(spark, tmp_path):
