@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from conftest import SF_MID
 from threadlens.operators.components import connected_components
 from threadlens.operators.density import density_clusters
-from threadlens.operators.neighbors import knn, radius_pairs
+from threadlens.operators.neighbors import NeighborIndex, core_distance, knn, radius_pairs, reachability_forest
 
 SMALL = dict(block_size=16, cell_target=40, max_pivots=32)
 
@@ -124,13 +124,85 @@ def test_edge_cases(spark):
     assert [(r.neighbor_id, r.distance) for r in rows] == [(1, 0.0), (2, 0.0)]
 
 
-def test_hierarchy_driver_and_spark_paths_agree(spark):
-    from threadlens.operators.density import density_hierarchy
+def test_components_of_a_long_path_take_few_rounds(spark):
+    """10,000 vertices in a row with ids in random order: rounds grow with the logarithm."""
+    ids = np.random.default_rng(1).permutation(10_000).tolist()
+    e = spark.createDataFrame(list(zip(ids, ids[1:])), "src long, dst long")
+    rounds = []
+    got = connected_components(spark.range(10_002), e, rounds=rounds)
+    assert {r["component"]: r["count"] for r in got.groupBy("component").count().collect()} == {
+        0: 10_000, 10_000: 1, 10_001: 1}
+    assert rounds[0] <= 30
+
+
+def test_components_of_struct_ids(spark):
+    e = spark.createDataFrame([((1, 0), (3, 0)), ((3, 0), (2, 0)), ((1, 1), (2, 1))],
+                              "src struct<id:long,l:int>, dst struct<id:long,l:int>")
+    v = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+    got = {tuple(r["id"]): tuple(r["component"]) for r in connected_components(v, e).collect()}
+    assert got == {(1, 0): (1, 0), (2, 0): (1, 0), (3, 0): (1, 0), (1, 1): (1, 1), (2, 1): (1, 1)}
+
+
+def _links(df, eps, **kw):
+    idx = NeighborIndex(df, 5, **kw)
+    core = core_distance(idx, 5)
+    return reachability_forest(idx, core, eps)
 
+
+def test_an_outlier_makes_no_pairs(spark):
+    """2,000 points in four blobs and one far away, searched up to the far
+    point's distance: forests of the groups, not the 4 million pairs."""
+    rng = np.random.default_rng(2)
+    X = np.vstack([rng.normal(c * 5.0, 0.3, size=(500, 4)) for c in range(4)] + [np.full((1, 4), 500.0)])
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(X)], "id long, vec array<float>")
+    links = _links(df, 2000.0).collect()
+    assert len(links) <= 20 * len(X)
+    comps = connected_components(df.select("id"), spark.createDataFrame(links), src="a", dst="b")
+    assert comps.select("component").distinct().count() == 1
+
+
+def test_forest_has_the_components_of_all_pairs(spark):
     X, df = _planted(spark)
-    local = dict(density_hierarchy(df, 5, 5, **SMALL).collect())
-    dist = dict(density_hierarchy(df, 5, 5, tree_on_driver=0, **SMALL).collect())
-    assert local == dist
-    emb = spark.read.parquet(f"{SF_MID}/embeddings.parquet").select(
-        F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    assert dict(density_hierarchy(emb, 5, 5).collect()) == dict(density_hierarchy(emb, 5, 5, tree_on_driver=0).collect())
+    D = _brute(X)
+    core = np.sort(D, axis=1)[:, 4]
+    reach = np.maximum(D, np.maximum(core[:, None], core[None, :]))
+    links = [(r["a"], r["b"], r["weight"]) for r in _links(df, 50.0, **SMALL).collect()]
+
+    def parts(edges):
+        label = list(range(len(X)))
+
+        def root(i):
+            while label[i] != i:
+                i = label[i]
+            return i
+
+        for a, b in edges:
+            label[max(root(a), root(b))] = min(root(a), root(b))
+        return [root(i) for i in range(len(X))]
+
+    for eps in (0.8, 1.2, 3.0, 8.0, 50.0):
+        want = parts((i, j) for i in range(len(X)) for j in range(i) if reach[i, j] <= eps)
+        assert parts((a, b) for a, b, w in links if w <= eps) == want
+
+
+def test_repeated_vectors_cost_no_more(spark):
+    """2,000 equal vectors: at most k candidates for each query and block."""
+    from threadlens.operators import neighbors as N
+
+    df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(2000)], "id long, vec array<float>")
+    idx = N.NeighborIndex(df, 5)
+    tagged, cells = idx._plan(None, None)
+    cand = tagged.groupBy("cell", "block", "chunk").applyInPandas(N._group_pairs(5, None, cells.tol), N.PAIR_SCHEMA)
+    assert cand.count() <= 2000 * 5 * int(cells.blocks.max())
+    rows = knn(df, 5).filter("id in (0, 1999)").orderBy("id", "rank").collect()
+    assert [r["neighbor_id"] for r in rows] == [1, 2, 3, 4, 5, 0, 1, 2, 3, 4]
+
+
+def test_wide_vectors(spark):
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(60, 3072)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(X)], "id long, vec array<float>")
+    D = _brute(X.astype(np.float64))
+    got = {(r["id"], r["rank"]): r["neighbor_id"] for r in knn(df, 2, block_size=16, cell_target=10).collect()}
+    for i in range(60):
+        assert [got[i, 1], got[i, 2]] == sorted(range(60), key=lambda j: D[i, j])[:2]

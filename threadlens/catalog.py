@@ -435,14 +435,14 @@ def q_topic_model_kmeans(spark, d):
 
 @query
 def q_topic_model_embeddings(spark, d):
-    """M2: documents with supplied embeddings → density clusters with the
-    outlier topic kept → at most 10 topics."""
+    """M2: documents with supplied embeddings, the others embedded here →
+    density clusters with the outlier topic kept → at most 10 topics."""
     from threadlens.operators.features import join_embeddings
     from threadlens.plans.topics import topic_model
 
     docs = join_embeddings(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "embeddings"))
     doc_topic, _ = topic_model(docs, "text", n_topics=10, clusterer="hierarchy", features="embedding",
-                               keep_outliers=True)
+                               embedder=True, keep_outliers=True)
     return doc_topic
 
 

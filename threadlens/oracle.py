@@ -241,4 +241,15 @@ sizes AS (SELECT component, count(*) AS n FROM comp GROUP BY component)
 SELECT p.id, CAST(CASE WHEN s.n >= 5 THEN c.component ELSE -1 END AS BIGINT) AS cluster
 FROM pts p LEFT JOIN comp c ON p.id = c.id LEFT JOIN sizes s ON c.component = s.component"""
 ORACLE["join_embeddings"] = """SELECT d.doc_id, d.lang, e.embedding, e.label
-FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id"""
+FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id"""
+ORACLE["embed_documents"] = r"""
+WITH t AS (SELECT doc_id, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) AS h
+           FROM (SELECT doc_id, unnest(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+')) AS term FROM documents)
+           WHERE length(term) >= 2),
+b AS (SELECT doc_id, h % 64 AS i, sum(CASE WHEN (h // 64) % 2 = 0 THEN 1 ELSE -1 END) AS s FROM t GROUP BY doc_id, h % 64),
+g AS (SELECT d.doc_id, r.i, coalesce(b.s, 0) AS s
+      FROM documents d CROSS JOIN (SELECT unnest(range(64)) AS i) r
+      LEFT JOIN b ON b.doc_id = d.doc_id AND b.i = r.i),
+n AS (SELECT doc_id, sqrt(CAST(sum(s * s) AS DOUBLE)) AS norm FROM g GROUP BY doc_id)
+SELECT doc_id, list(CAST(CASE WHEN norm > 0 THEN s / norm ELSE 0 END AS FLOAT) ORDER BY i) AS embedding
+FROM g JOIN n USING (doc_id) GROUP BY doc_id"""
