@@ -433,6 +433,41 @@ def q_topic_model_kmeans(spark, d):
     return doc_topic
 
 
+def _model_check(spark, d, clusterer: str) -> DataFrame:
+    """What holds for any model of the engaged descriptions, exactly: each
+    document once, at most six topics besides -1, summary equal to doc_topic."""
+    from threadlens.plans.topics import N_TOPICS, topic_model
+
+    c, r, a, _ = _inputs(spark, d, url=False)
+    doc_topic, summary = topic_model(E.engaged_descriptions(c, r, a), "description", clusterer=clusterer,
+                                     keep_outliers=True)
+    doc_topic = materialize(doc_topic, "checked_doc_topic")
+    counts = doc_topic.groupBy("Topic").agg(F.count(F.lit(1)).alias("n"))
+    both = counts.join(summary, "Topic", "full").agg(
+        F.count_if(F.coalesce(F.col("n") != F.col("Count"), F.lit(True))).alias("n_differing"),
+        (F.count_if(F.col("Topic") >= 0) <= N_TOPICS).alias("few_topics"))
+    return (doc_topic.agg(F.count(F.lit(1)).alias("n_documents"),
+                          F.count_distinct(E.text_key("Document_description")).alias("n_distinct"))
+            .withColumn("__one", F.lit(1)).join(both.withColumn("__one", F.lit(1)), "__one").drop("__one"))
+
+
+@query
+def q_topic_model_check(spark, d):
+    return _model_check(spark, d, "hierarchy")
+
+
+@query
+def q_topic_model_density_check(spark, d):
+    """one density level."""
+    return _model_check(spark, d, "density")
+
+
+@query
+def q_topic_model_bisecting_check(spark, d):
+    """bisecting k-means."""
+    return _model_check(spark, d, "bisecting")
+
+
 @query
 def q_topic_model_embeddings(spark, d):
     """M2: documents with supplied embeddings, the others embedded here →

@@ -253,3 +253,41 @@ g AS (SELECT d.doc_id, r.i, coalesce(b.s, 0) AS s
 n AS (SELECT doc_id, sqrt(CAST(sum(s * s) AS DOUBLE)) AS norm FROM g GROUP BY doc_id)
 SELECT doc_id, list(CAST(CASE WHEN norm > 0 THEN s / norm ELSE 0 END AS FLOAT) ORDER BY i) AS embedding
 FROM g JOIN n USING (doc_id) GROUP BY doc_id"""
+
+
+def _reduce_sql(merges: int, n_topics: int) -> str:
+    """M8 with its rounds written out: ``merges`` of them, each only while
+    more than ``n_topics`` topics remain."""
+    ctes = [CTFIDF[0], "raw AS MATERIALIZED (SELECT Topic, term, count(*) AS tf FROM toks WHERE length(term) >= 2 GROUP BY Topic, term)",
+            "docs AS (SELECT Topic, count(*) AS n FROM doc_topic GROUP BY Topic)",
+            "m0 AS (SELECT Topic AS o, Topic AS c FROM docs)"]
+    for i in range(merges):
+        ctes += [
+            f"sz{i} AS MATERIALIZED (SELECT c, sum(n) AS n FROM m{i} JOIN docs ON o = Topic WHERE c <> -1 GROUP BY c)",
+            f"sm{i} AS MATERIALIZED (SELECT c AS s FROM sz{i} ORDER BY n, c DESC LIMIT 1)",
+            f"tf{i} AS MATERIALIZED (SELECT c, term, sum(tf) AS tf FROM raw JOIN m{i} ON Topic = o GROUP BY c, term)",
+            f"tot{i} AS (SELECT c, sum(tf) AS n_topic FROM tf{i} GROUP BY c)",
+            f"avg{i} AS (SELECT floor(avg(n_topic)) AS a FROM tot{i})",
+            f"term{i} AS (SELECT term, sum(tf) AS n_term FROM tf{i} GROUP BY term)",
+            f"""w{i} AS MATERIALIZED (SELECT tf{i}.c, term, round((CAST(tf{i}.tf AS DOUBLE) / n_topic)
+                * ln(1 + CAST(a AS DOUBLE) / n_term), 12) AS w FROM tf{i} JOIN tot{i} USING (c) JOIN term{i} USING (term), avg{i})""",
+            f"""sim{i} AS (SELECT x.c, round(sum(x.w * coalesce(y.w, 0)) / sqrt(sum(x.w * x.w)), 12) AS sim
+                FROM w{i} x LEFT JOIN (SELECT term, w FROM w{i}, sm{i} WHERE c = s) y USING (term)
+                GROUP BY x.c HAVING sum(x.w * x.w) > 0)""",
+            f"""to{i} AS MATERIALIZED (SELECT c AS t FROM sz{i} LEFT JOIN sim{i} USING (c), sm{i} WHERE c <> s
+                ORDER BY coalesce(sim, 0) DESC, c LIMIT 1)""",
+            f"""m{i + 1} AS MATERIALIZED (SELECT o, CASE WHEN c = s AND (SELECT count(*) FROM sz{i}) > {n_topics}
+                THEN t ELSE c END AS c FROM m{i}, sm{i}, to{i})""",
+        ]
+    return with_ctes(["doc_topic"], f"""SELECT CAST(c AS INTEGER) AS Topic, Document_description
+FROM doc_topic JOIN m{merges} ON o = Topic""", ctes)
+
+
+ORACLE["topic_reduce"] = _reduce_sql(merges=3, n_topics=6)
+
+for _name in ("topic_model_check", "topic_model_density_check", "topic_model_bisecting_check"):
+    _q(_name, ["comments", "reactions", "articles"], """
+SELECT count(*) AS n_documents, count(*) AS n_distinct, CAST(0 AS BIGINT) AS n_differing, true AS few_topics FROM (
+  SELECT DISTINCT a.description
+  FROM comments_nb c JOIN reactions r ON c.conv_message_id = r.message_id
+  JOIN articles a ON a.conversation_id = c.conversation_id)""", [COMMENTS_NB])
