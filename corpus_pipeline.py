@@ -35,17 +35,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Op 7; the document with the smallest id of each group stays. Rows with
     one id rank by a hash of the whole row (a null id comes first); of rows
     that are equal in every column one stays."""
-    key = F.struct(F.col("doc_id"), F.xxhash64(*docs.columns).alias("row_hash"))
-    groups = simhash.near_duplicates(docs.select(key.alias("key"), "text"), "key")
-    kept = groups.filter(F.col("key").eqNullSafe(F.col("component_id"))).groupBy("key").agg(F.count("*").alias("__n"))
-    kept = materialize(kept, "near-duplicates-kept").select(
-        F.col("key.doc_id").alias("__id"), F.col("key.row_hash").alias("__hash"), "__n")
-    both = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(*docs.columns) == F.col("__hash"))
-    if kept.filter(F.col("__n") > 1).isEmpty():
-        return docs.join(kept, both, "left_semi")
-    single = docs.join(kept.filter(F.col("__n") == 1), both, "left_semi")
-    repeated = docs.join(kept.filter(F.col("__n") > 1), both, "left_semi")
-    return single.unionByName(repeated.dropDuplicates())
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    key = F.struct(F.col("row.doc_id").alias("doc_id"), F.xxhash64("row").alias("hash"))
+    groups = simhash.near_duplicates(rows.select(key.alias("key"), F.col("row.text").alias("text")), "key")
+    kept = groups.filter(F.col("key").eqNullSafe(F.col("component_id"))).groupBy("key").agg(F.count("*").alias("n"))
+    kept = materialize(kept, "near-duplicates-kept").select("key.doc_id", "key.hash", "n")
+    both = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row") == F.col("hash"))
+    of = lambda times: rows.join(kept.filter(times), both, "left_semi").select("row.*")
+    if kept.filter("n > 1").isEmpty():
+        return of("n = 1")
+    return of("n = 1").unionByName(of("n > 1").dropDuplicates())
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,16 +31,16 @@ from threadlens.llm.common import map_batches, texts
 
 #: Bounds of the fit: labelled documents, kept words and kept n-grams (of each length) per language, languages.
 SAMPLE_DOCS = 4000
-MAX_WORDS = 50_000
-MAX_GRAMS = 20_000
+MAX_WORDS = 20_000
+MAX_GRAMS = 8_000
 MAX_LANGS = 200
 LONGEST = 5
 #: Score of a word or n-gram in a language that lacks it (negative log10 frequency).
 PENALTY = 7.0
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
-#: Scores of unseen words that a worker remembers.
-_MEMORY = 300_000
+#: Scores of unseen words that a worker remembers, and words scored at once.
+_MEMORY, _BLOCK = 200_000, 50_000
 
 
 def words_of(text: str) -> list[str]:
@@ -63,8 +63,8 @@ class Model:
     words: dict[str, int]
     grams: list[dict[str, int]]
     scores: np.ndarray
-    seen: dict[str, int] = field(default_factory=dict)
-    extra: list[np.ndarray] = field(default_factory=list)
+    rows: dict[str, int] = field(default_factory=dict)
+    table: np.ndarray | None = None
 
     def backoff(self, word: str) -> np.ndarray:
         for n in range(LONGEST, 0, -1):
@@ -79,23 +79,25 @@ class Model:
         words = words_of(text)
         if not words or not self.langs:
             return None
-        at = list(map(self.words.get, words))
-        total = self.scores[[i for i in at if i is not None]].sum(0)
-        if None in at:
-            for word, i in zip(words, at):
-                if i is None:
-                    total = total + self._unseen(word)
+        total = np.zeros(len(self.langs))
+        for a in range(0, len(words), _BLOCK):
+            block = words[a:a + _BLOCK]
+            if self.table is None or len(self.rows) - len(self.words) + len(block) > _MEMORY:
+                self.rows = dict(self.words)  # the known words, then the unseen ones as they come
+                self.table = np.concatenate([self.scores, np.empty((_MEMORY, len(self.langs)))])
+            at = list(map(self.rows.get, block))
+            if None in at:
+                at = [self._row(w) if i is None else i for i, w in zip(at, block)]
+            total += self.table[at].sum(0)
         return total / len(words)
 
-    def _unseen(self, word: str) -> np.ndarray:
-        i = self.seen.get(word)
+    def _row(self, word: str) -> int:
+        """Row of an unseen word in the table of scores."""
+        i = self.rows.get(word)
         if i is None:
-            if len(self.seen) >= _MEMORY:
-                self.seen.clear()
-                self.extra.clear()
-            i = self.seen[word] = len(self.extra)
-            self.extra.append(self.backoff(word))
-        return self.extra[i]
+            i = self.rows[word] = len(self.scores) + len(self.rows) - len(self.words)
+            self.table[i] = self.backoff(word)
+        return i
 
     def predict(self, text: str) -> tuple[str, float]:
         """Language and score: the share of the best language among all by
@@ -145,19 +147,23 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
             .filter(F.col("rank") <= F.when(F.col("n") == 0, max_words).otherwise(max_grams))
             .join(totals, ["lang", "n"])
             .select("lang", "n", "entry", (-F.log10(F.col("c") / F.col("total"))).alias("score")))
-    rows = kept.toPandas()
-    langs = sorted(rows["lang"].unique())
-    scores = np.full((0, len(langs)), PENALTY)
-    tables: list[dict[str, int]] = []
-    for n in range(LONGEST + 1):
-        part = rows[rows["n"] == n]
-        entries = sorted(part["entry"].unique())
-        index = {e: len(scores) + i for i, e in enumerate(entries)}
-        block = np.full((len(entries), len(langs)), PENALTY)
-        at = part["entry"].map(index).to_numpy(dtype=np.int64) - len(scores)
-        block[at, np.searchsorted(langs, part["lang"].to_numpy())] = np.minimum(part["score"], PENALTY)
-        scores = np.concatenate([scores, block])
-        tables.append(index)
+    rows = kept.toArrow()
+    langs = sorted(set(rows.column("lang").to_pylist()))
+    lang = np.searchsorted(langs, rows.column("lang").to_numpy()) if langs else np.zeros(0, np.int64)
+    order, score = rows.column("n").to_numpy(), rows.column("score").to_numpy()
+    entries = rows.column("entry").to_pylist()
+    tables: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+    at = np.empty(len(entries), np.int64)
+    size = 0
+    for n in range(LONGEST + 1):  # entries in their own order, whatever the order of the rows
+        places = np.flatnonzero(order == n).tolist()
+        for e in sorted({entries[i] for i in places}):
+            tables[n][e] = size
+            size += 1
+        for i in places:
+            at[i] = tables[n][entries[i]]
+    scores = np.full((size, len(langs)), PENALTY)
+    scores[at, lang] = np.minimum(score, PENALTY)
     return Model(list(langs), tables[0], tables, scores)
 
 

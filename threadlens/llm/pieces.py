@@ -42,8 +42,10 @@ SPACE = "▁"
 #: What an unknown character costs below the lowest score of a unigram model (fixed value of the format).
 UNKNOWN_PENALTY = 10.0
 _CHUNKS = re.compile(f"{SPACE}+[^{SPACE}]*")
-#: Remembered chunks of at most so many characters; the table starts anew when full.
-_SHORT, _MEMORY = 48, 400_000
+#: Remembered are chunks of at most so many characters, and so many of them; what was used since the last time the
+#: table was full stays for the next.
+_SHORT, _MEMORY = 48, 200_000
+_NEVER = float("inf")
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
@@ -88,8 +90,10 @@ class Tokenizer:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.fits: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
+        self.old_fits: dict[tuple[int, int], bool] = {}
+        self.cost = {p: -vocabulary.scores[i] for p, i in vocabulary.ids.items()}.get
         self.short: dict[str, tuple[int, ...]] = {}
+        self.old_short: dict[str, tuple[int, ...]] = {}
         self.surface = [p.replace(SPACE, " ") for p in vocabulary.pieces]
         self.surface[vocabulary.unknown] = " ⁇ "
         for i, t in enumerate(vocabulary.types):
@@ -107,17 +111,24 @@ class Tokenizer:
             return list(self.stream(marked))
         chunks = _CHUNKS.findall(marked)
         head = len(marked) - sum(map(len, chunks))
-        known = self.short
-        found = [known.get(c) or self._chunk(c) for c in chunks]
+        found = [self.short.get(c) or self._chunk(c) for c in chunks]
         if head:
             found.insert(0, self._chunk(marked[:head]))
         return list(chain.from_iterable(found))
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
-        ids = tuple(self._run(chunk) if self.v.tied and chunk.startswith(SPACE * 2) else self.stream(chunk))
+        ids = self.old_short.get(chunk)
+        if ids is not None:
+            pass
+        elif self.v.tied and chunk.startswith(SPACE * 2):
+            ids = tuple(self._run(chunk))
+        elif self.v.kind == BPE and len(chunk) <= _SHORT:
+            ids = tuple(self._short_bpe(chunk))
+        else:
+            ids = tuple(self.stream(chunk))
         if len(chunk) <= _SHORT:
             if len(self.short) >= _MEMORY:
-                self.short.clear()
+                self.old_short, self.short = self.short, {}
             self.short[chunk] = ids
         return ids
 
@@ -134,6 +145,33 @@ class Tokenizer:
         yield from (self.v.ids[p] for p in self.merged(SPACE * run))
         yield from tail
 
+    def _short_bpe(self, text: str) -> list[int]:
+        """``stream`` for a text within one window: the same edges in two lists."""
+        get, fits, longest = self.v.ids.get, self.fits, self.v.longest
+        start, last = [0], [-1]
+        for i in range(1, len(text) + 1):
+            for j in range(max(0, i - longest), i):
+                piece = get(text[j:i])
+                if piece is not None:
+                    ok = fits.get((last[j], piece))
+                    if ok if ok is not None else self._fit(last[j], piece):
+                        break
+            else:
+                j, piece = i - 1, -1
+            start.append(j)
+            last.append(piece)
+        out: list[int] = []
+        i = len(text)
+        while i:
+            j = start[i]
+            if last[i] >= 0:
+                out.append(last[i])
+            else:
+                out += reversed(self._unknown(text[j:i]))
+            i = j
+        out.reverse()
+        return out
+
     def stream(self, text: str) -> Iterator[int]:
         """Ids of ``text`` as they are committed."""
         v, longest = self.v, self.v.longest
@@ -160,15 +198,13 @@ class Tokenizer:
         out: list[list[int]] = []
         while meet > done:
             start, piece, _ = best[meet]
-            if piece >= 0:
-                out.append([piece])
-            elif self.v.bytes:
-                out.append([self.v.bytes[b] for b in text[start:meet].encode()])
-            else:
-                out.append([self.v.unknown])
+            out.append([piece] if piece >= 0 else self._unknown(text[start:meet]))
             meet = start
         return list(chain.from_iterable(reversed(out)))
 
+    def _unknown(self, char: str) -> list[int]:
+        return [self.v.bytes[b] for b in char.encode()] if self.v.bytes else [self.v.unknown]
+
     def _unigram_edge(self, text: str, i: int, low: int, best: dict) -> tuple[int, int, float]:
         """The largest sum; the longest piece at a tie."""
         ids, scores = self.v.ids, self.v.scores
@@ -192,25 +228,50 @@ class Tokenizer:
         for j in range(low, i):
             piece = ids.get(text[j:i])
             if piece is not None:
-                before = best[j][1]
-                if before < 0:  # the start, or an unknown character: nothing merges over it
-                    ok = self.whole.get(piece)
-                    if ok is None:
-                        ok = self.whole[piece] = len(self.merged(text[j:i])) == 1
-                else:
-                    ok = fits.get((before, piece))
-                    if ok is None:
-                        if len(fits) >= 4 * _MEMORY:
-                            fits.clear()
-                        pair = self.merged(self.v.pieces[before] + text[j:i])
-                        ok = fits[before, piece] = len(pair) == 2 and len(pair[1]) == i - j
-                if ok:
+                ok = fits.get((best[j][1], piece))
+                if ok if ok is not None else self._fit(best[j][1], piece):
                     return j, piece, 0.0
         return i - 1, -1, 0.0
 
+    def _fit(self, before: int, piece: int) -> bool:
+        """Do these two pieces stay as they are when their characters are
+        merged? (-1: the start, or an unknown character; nothing merges over it)"""
+        pieces = self.v.pieces
+        ok = self.old_fits.get((before, piece))
+        if ok is not None:
+            pass
+        elif before < 0:
+            ok = len(self.merged(pieces[piece])) == 1
+        else:
+            pair = self.merged(pieces[before] + pieces[piece])
+            ok = len(pair) == 2 and pair[1] == pieces[piece]
+        if len(self.fits) >= _MEMORY:
+            self.old_fits, self.fits = self.fits, {}
+        self.fits[before, piece] = ok
+        return ok
+
     def merged(self, text: str) -> list[str]:
         """The characters merged pair by pair: the best rank first, the leftmost at a tie."""
-        ids, scores = self.v.ids, self.v.scores
+        if len(text) > 2 * _SHORT:
+            return self._merged_long(text)
+        cost = self.cost
+        part = list(text)
+        ranks = [cost(a + b, _NEVER) for a, b in zip(part, part[1:])]
+        while ranks:
+            low = min(ranks)
+            if low == _NEVER:
+                break
+            i = ranks.index(low)
+            part[i:i + 2] = [part[i] + part[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = cost(part[i - 1] + part[i], _NEVER)
+            if i < len(ranks):
+                ranks[i] = cost(part[i] + part[i + 1], _NEVER)
+        return part
+
+    def _merged_long(self, text: str) -> list[str]:
+        """``merged`` with a heap, for texts of any length."""
         part = list(text)
         right = list(range(1, len(part) + 1))
         left = list(range(-1, len(part) - 1))
@@ -219,10 +280,9 @@ class Tokenizer:
         def offer(a: int) -> None:
             b = right[a]
             if b < len(part):
-                joined = part[a] + part[b]
-                piece = ids.get(joined)
-                if piece is not None:
-                    heapq.heappush(heap, (-scores[piece], a, b, joined))
+                cost = self.cost(part[a] + part[b])
+                if cost is not None:
+                    heapq.heappush(heap, (cost, a, b, part[a] + part[b]))
 
         for a in range(len(part) - 1):
             offer(a)
