@@ -14,14 +14,17 @@ minimizers, so they are in one shard; a stretch of text whose windows share
 one minimizer occurrence is a *piece*. Then, per shard (one minimizer value):
 
 1. only minimizers that occur more than once have pieces at all;
-2. equal pieces meet in an aggregate: all but the first are repeats as a whole;
-3. the shard's different pieces go past its automaton in order of their first
-   occurrence: what matches is a repeat, the rest is added to the automaton.
-
-A minimizer with more than ``HOT_PIECES`` pieces (a common phrase in ever new
-contexts) would make one shard grow with the corpus: there each window is a
-piece and a shard by itself, keyed by its own words. Shards are therefore
-bounded, none is dropped, and the result does not depend on the split.
+2. equal pieces meet in an aggregate of their hashes: all but the first are
+   repeats as a whole, whatever their number;
+3. the first ones of a shard with several different pieces, and only they,
+   come with their words, and go past the shard's automaton in order: what
+   matches is a repeat, the rest is added to the automaton.
+
+A minimizer with more than ``HOT_PIECES`` different pieces (a common phrase in
+ever new contexts) would make one shard grow with the corpus. There each
+window is a shard by itself, and equal windows meet before the shuffle.
+Shards are therefore bounded, none is dropped, and the result does not depend
+on the split. Whole texts are shuffled once.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.llm.common import map_batches, materialize, text_bytes
+from threadlens.llm.common import map_batches, text_bytes
 
 WINDOW = 20
 #: Words of a minimizer.
@@ -134,58 +137,94 @@ def minimizers(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tu
     return first, np.diff(np.concatenate((first, [n]))), hashes[chosen[first]]
 
 
+#: A document: whether it has an id, the id (0 for none) and a hash of its text.
+_DOC = ["known", "doc", "hash"]
+
+
+def _doc_fields(frame: DataFrame) -> str:
+    return f"known boolean, doc {frame.schema['doc'].dataType.simpleString()}, hash long"
+
+
+def _doc_columns(batch: pa.RecordBatch, of: pa.Array) -> dict:
+    """The first three columns of ``batch``, at the rows ``of``."""
+    return {c: batch.column(i).take(of) for i, c in enumerate(_DOC)}
+
+
 def _pieces(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(mini, doc, hash): one row for each piece of each document."""
-    kind = docs.schema["doc"].dataType.simpleString()
+    """(mini, document): one row for each piece of each document."""
 
     def marks(batch: pa.RecordBatch) -> dict:
-        found = [minimizers(t.split(), window, gram)[2] for t in text_bytes(batch.column(2))]
+        found = [minimizers(t.split(), window, gram)[2] for t in text_bytes(batch.column(3))]
         of = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-        return {"mini": np.concatenate(found).view(np.int64), "doc": batch.column(0).take(of),
-                "hash": batch.column(1).take(of)}
+        return {"mini": np.concatenate(found).view(np.int64)} | _doc_columns(batch, of)
 
-    return map_batches(docs.select("doc", "hash", "text"), marks, f"mini long, doc {kind}, hash long")
+    return map_batches(docs.select(*_DOC, "text"), marks, f"mini long, {_doc_fields(docs)}")
 
 
-def _texts_of_pieces(affected: DataFrame, window: int, gram: int) -> DataFrame:
-    """(shard, piece, doc, hash, first, n): the repeated pieces with their
-    words; of a hot minimizer each window by itself."""
-    kind = affected.schema["doc"].dataType.simpleString()
+def _repeated_pieces(affected: DataFrame, window: int, gram: int) -> DataFrame:
+    """(shard, code, document, first, n): the pieces whose minimizer repeats;
+    ``code`` is a hash of the piece's words."""
 
     def cut(batch: pa.RecordBatch) -> dict:
-        out: dict = {"shard": [], "piece": [], "first": [], "n": []}
+        out: dict = {"shard": [], "code": [], "first": [], "n": []}
         of = []
-        for i, (text, minis) in enumerate(zip(text_bytes(batch.column(2)), batch.column(3).to_pylist())):
+        for i, (text, minis) in enumerate(zip(text_bytes(batch.column(3)), batch.column(4))):
             words = text.split()
-            hot = {m["mini"]: m["hot"] for m in minis}
             first, count, hashes = minimizers(words, window, gram)
-            for a, n, mini in zip(first.tolist(), count.tolist(), hashes.view(np.int64).tolist()):
-                if mini not in hot:
+            at = np.flatnonzero(np.isin(hashes.view(np.int64), minis.values.to_numpy()))
+            first, count = first[at], count[at]
+            code = [xxhash.xxh64_intdigest(b" ".join(words[a:a + n + window - 1]))
+                    for a, n in zip(first.tolist(), count.tolist())]
+            out["shard"].append(hashes[at].view(np.int64))
+            out["code"].append(np.array(code, np.uint64).view(np.int64))
+            out["first"].append(first)
+            out["n"].append(count)
+            of.append(np.full(len(at), i))
+        return {c: np.concatenate(v) for c, v in out.items()} | _doc_columns(batch, pa.array(np.concatenate(of)))
+
+    return map_batches(affected.select(*_DOC, "text", "minis"), cut,
+                       f"shard long, code long, {_doc_fields(affected)}, first int, n int")
+
+
+def _words_of_pieces(wanted: DataFrame, window: int) -> DataFrame:
+    """(shard, piece, document, first, n) with the words of the pieces that
+    ``wanted`` lists for each text. Of a hot shard each window comes as a
+    shard of its own, of equal windows in a batch the first one."""
+
+    def cut(batch: pa.RecordBatch) -> dict:
+        out: dict = {"shard": [], "piece": [], "first": [], "n": []}
+        of: list[int] = []
+        windows: dict[bytes, tuple] = {}
+        places = list(zip(*[batch.column(i).to_pylist() for i in range(3)]))
+
+        def put(shard: int, piece: bytes, first: int, n: int, i: int) -> None:
+            for column, value in zip(out.values(), (shard, piece, first, n)):
+                column.append(value)
+            of.append(i)
+
+        for i, (text, pieces) in enumerate(zip(text_bytes(batch.column(3)), batch.column(4).to_pylist())):
+            words = text.split()
+            for p in pieces:
+                a, n = p["first"], p["n"]
+                if not p["hot"]:
+                    put(p["shard"], b" ".join(words[a:a + n + window - 1]), a, n, i)
                     continue
-                parts = [(a, n)] if not hot[mini] else [(k, 1) for k in range(a, a + n)]
-                for start, windows in parts:
-                    piece = b" ".join(words[start:start + windows + window - 1])
-                    code = np.uint64(xxhash.xxh64_intdigest(piece)).view(np.int64) if hot[mini] else mini
-                    out["shard"].append(int(code))
-                    out["piece"].append(piece)
-                    out["first"].append(start)
-                    out["n"].append(windows)
-                    of.append(i)
-        at = pa.array(of, pa.int64())
-        return out | {"doc": batch.column(0).take(at), "hash": batch.column(1).take(at)}
-
-    return map_batches(affected.select("doc", "hash", "text", "minis"), cut,
-                       f"shard long, piece binary, doc {kind}, hash long, first int, n int")
+                for k in range(a, a + n):
+                    piece = b" ".join(words[k:k + window])
+                    windows[piece] = min(windows.get(piece, (*places[i], k, i)), (*places[i], k, i))
+        for piece, (*_, k, i) in windows.items():
+            put(int(np.uint64(xxhash.xxh64_intdigest(piece)).view(np.int64)), piece, k, 1, i)
+        return out | _doc_columns(batch, pa.array(of, pa.int64()))
+
+    return map_batches(wanted.select(*_DOC, "text", "pieces"), cut,
+                       f"shard long, piece binary, {_doc_fields(wanted)}, first int, n int")
 
 
 def _repeats_in_shards(firsts: DataFrame, window: int) -> DataFrame:
-    """(doc, hash, shard, first, n, mask): for the first occurrence of each
-    different piece the windows (bits) that an earlier piece of the shard has.
-    ``firsts`` comes in order of shard and first occurrence; a task holds one
-    shard's automaton at a time."""
-    kind = firsts.schema["doc"].dataType.simpleString()
-    columns = ("shard", "doc", "hash", "first", "n", "piece")
-    schema = f"shard long, doc {kind}, hash long, first int, n int, mask long"
+    """(document, first, n, mask): for each different piece of a shard the
+    windows (bits) that an earlier one has. The pieces come in order of shard
+    and first occurrence; a task holds one shard's automaton at a time."""
+    schema = f"{_doc_fields(firsts)}, first int, n int, mask long"
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -195,7 +234,7 @@ def _repeats_in_shards(firsts: DataFrame, window: int) -> DataFrame:
         shard, held, automaton = None, None, None
         for batch in batches:
             masks = []
-            for key, piece in zip(batch.column(0).to_pylist(), batch.column(5).to_pylist()):
+            for key, piece in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist()):
                 words = piece.split()
                 if key != shard:  # the automaton is made when a second piece comes
                     shard, held, automaton = key, words, None
@@ -209,8 +248,8 @@ def _repeats_in_shards(firsts: DataFrame, window: int) -> DataFrame:
                 automaton.add(words)
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(masks, pa.int64())], schema=arrow)
 
-    ordered = (firsts.select(*columns).repartition("shard")
-               .sortWithinPartitions("shard", "doc", "hash", "first"))
+    ordered = (firsts.select(*_DOC, "first", "n", "shard", "piece").repartition("shard")
+               .sortWithinPartitions("shard", *_DOC, "first"))
     return ordered.mapInArrow(run, schema)
 
 
@@ -225,45 +264,53 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null, empty and blank texts have no words. Null ids come before all
     others. Rows with one id are documents of their own, in order of a hash of
     their text; rows with one id and one text are the same document and get
-    the same result. Other columns are ignored.
+    the same result. Other columns are ignored; no rows give no rows.
     """
     if window - min(gram, window) >= 63:
         raise ValueError("a piece may have 63 windows at most: take longer minimizers")
-    all_docs = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    id_type = docs.schema[id_col].dataType
+    all_docs = docs.select(F.col(id_col).isNotNull().alias("known"),
+                           F.coalesce(F.col(id_col), F.lit(0).cast(id_type)).alias("doc"),
+                           F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
     pieces = _pieces(all_docs, window, gram)
-    repeated = pieces.groupBy("mini").agg(F.count("*").alias("n")).filter("n > 1").select(
-        "mini", (F.col("n") > hot_pieces).alias("hot"))
-    by_doc = (pieces.join(repeated, "mini").groupBy("doc", "hash")
-              .agg(F.collect_set(F.struct("mini", "hot")).alias("minis")))
-    same = lambda a, b: a["doc"].eqNullSafe(b["doc"]) & (a["hash"] == b["hash"])
-    affected = materialize(all_docs.join(by_doc, same(all_docs, by_doc)).select(
-        all_docs["doc"], all_docs["hash"], "text", "minis"), "repeats-affected")
-    found = materialize(_texts_of_pieces(affected, window, gram), "repeats-pieces")
-    first = F.min(F.struct("doc", "hash", "first", "n")).alias("at")
-    firsts = found.groupBy("shard", "piece").agg(first).select("shard", "piece", "at.*")
-    masks = _repeats_in_shards(firsts, window)
-    places = found.select("shard", "doc", "hash", "first", "n", F.lit(None).cast("long").alias("mask"))
-    marks = places.unionByName(masks).groupBy("doc", "hash").agg(
-        F.collect_list(F.struct("shard", "first", "n", "mask")).alias("marks"))
-    texts_of = affected.select("doc", "hash", "text").dropDuplicates(["doc", "hash"])
-    cut = texts_of.join(marks, same(texts_of, marks)).select(texts_of["doc"], texts_of["hash"], "text", "marks")
-    done = _kept(cut, window, digest)
-    whole = _kept(all_docs.withColumn("marks", F.lit(None).cast(marks.schema["marks"].dataType)), window, digest)
-    row = whole.withColumnsRenamed({"spans": "w_spans", "kept": "w_kept", "n_removed": "w_removed"})
-    out = row.join(done.drop("n_words"), same(row, done), "left")
-    return out.select(row["doc"].alias(id_col), "n_words", F.coalesce("n_removed", "w_removed").alias("n_removed"),
-                      F.coalesce("spans", "w_spans").alias("spans"), F.coalesce("kept", "w_kept").alias("kept"))
-
-
-def _kept(marked: DataFrame, window: int, digest: bool) -> DataFrame:
-    """(doc, hash, n_words, n_removed, spans, kept) from (doc, hash, text, marks)."""
-    kind = marked.schema["doc"].dataType.simpleString()
+    repeated = pieces.groupBy("mini").agg(F.count("*").alias("n")).filter("n > 1").select("mini")
+    by_doc = pieces.join(repeated, "mini").groupBy(*_DOC).agg(F.collect_set("mini").alias("minis"))
+    # sort-merge joins on the document only, so that the shuffled texts are used again by each
+    affected = all_docs.join(by_doc.hint("merge"), _DOC)
+    firsts = (_repeated_pieces(affected, window, gram).groupBy("shard", "code")
+              .agg(F.min(F.struct(*_DOC, "first", "n")).alias("at")).select("shard", "at.*"))
+    # counting a column of the first place keeps this the same aggregate as ``firsts``
+    sized = firsts.join(firsts.groupBy("shard").agg(F.count("first").alias("m")), "shard")
+    alone = sized.filter("m = 1").select(*_DOC, "first", "n", F.lit(0).cast("long").alias("mask"))
+    several = sized.filter("m > 1").groupBy(*_DOC).agg(F.collect_list(F.struct(
+        "shard", "first", "n", (F.col("m") > hot_pieces).alias("hot"))).alias("pieces"))
+    spelled = _words_of_pieces(affected.join(several.hint("merge"), _DOC), window)
+    masks = alone.unionByName(_repeats_in_shards(spelled, window)).groupBy(*_DOC).agg(
+        F.collect_list(F.struct("first", "n", "mask")).alias("masks"))
+    done = _kept(affected.join(masks.hint("merge"), _DOC, "left"), window, gram, digest)
+    done = done.groupBy(*_DOC).agg(*[F.first(c).alias(c) for c in ("n_removed", "spans", "kept")])
+    nothing = F.lit(None).cast("array<long>").alias("minis"), F.lit(None).cast(masks.schema["masks"].dataType).alias("masks")
+    whole = _kept(all_docs.select("*", *nothing), window, gram, digest).withColumnsRenamed(
+        {"spans": "w_spans", "kept": "w_kept", "n_removed": "w_removed"})
+    return whole.join(done, _DOC, "left").select(
+        F.when(F.col("known"), F.col("doc")).alias(id_col), "n_words",
+        F.coalesce("n_removed", "w_removed").alias("n_removed"),
+        F.coalesce("spans", "w_spans").alias("spans"), F.coalesce("kept", "w_kept").alias("kept"))
+
+
+def _kept(marked: DataFrame, window: int, gram: int, digest: bool) -> DataFrame:
+    """(document, n_words, n_removed, spans, kept) from (document, text, minis, masks)."""
 
     def rows(batch: pa.RecordBatch) -> dict:
-        out: dict = {"doc": batch.column(0), "hash": batch.column(1), "n_words": [], "n_removed": [], "spans": [], "kept": []}
-        for text, marks in zip(text_bytes(batch.column(2)), batch.column(3).to_pylist()):
+        out: dict = {c: batch.column(i) for i, c in enumerate(_DOC)}
+        out |= {"n_words": [], "n_removed": [], "spans": [], "kept": []}
+        for text, minis, masks in zip(text_bytes(batch.column(3)), batch.column(4), batch.column(5).to_pylist()):
             words = text.split()
-            gone = covered(len(words), marks or [], window)
+            gone = np.zeros(len(words), bool)
+            if minis.is_valid:
+                first, count, hashes = minimizers(words, window, gram)
+                at = np.flatnonzero(np.isin(hashes.view(np.int64), minis.values.to_numpy()))
+                gone = covered(len(words), first[at], count[at], masks or [], window)
             edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
             kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g]) if len(edges) else b" ".join(words)
             out["n_words"].append(len(words))
@@ -272,22 +319,25 @@ def _kept(marked: DataFrame, window: int, digest: bool) -> DataFrame:
             out["kept"].append(hashlib.sha256(kept).hexdigest() if digest else kept.decode("utf-8", "replace"))
         return out
 
-    return map_batches(marked.select("doc", "hash", "text", "marks"), rows, f"doc {kind}, hash long, n_words long, "
+    return map_batches(marked.select(*_DOC, "text", "minis", "masks"), rows, f"{_doc_fields(marked)}, n_words long, "
                        "n_removed long, spans array<struct<start:int,end:int>>, kept string")
 
 
-def covered(n: int, marks: list[dict], window: int) -> np.ndarray:
-    """Which of ``n`` words lie in a repeated window. A piece with a mask is
-    the first of its kind and repeats only the windows of the mask; any other
-    occurrence repeats all its windows."""
-    masks = {(m["shard"], m["first"]): m["mask"] for m in marks if m["mask"] is not None}
+def covered(n: int, first: np.ndarray, count: np.ndarray, masks: list[dict], window: int) -> np.ndarray:
+    """Which of ``n`` words lie in a repeated window. The windows of the
+    repeated pieces (``first``, ``count``) are repeats, but for those that a
+    mask names as first of their kind: a mask has a bit for each of its ``n``
+    windows from ``first`` on, set for a repeat."""
+    repeat = np.zeros(n + 1, np.int64)
+    for a, k in zip(first.tolist(), count.tolist()):
+        repeat[a:a + k] = 1
+    for m in masks:
+        for k in range(m["n"]):
+            repeat[m["first"] + k] = m["mask"] >> k & 1
+    at = np.flatnonzero(repeat)
     step = np.zeros(n + 1, np.int64)
-    for m in {(m["shard"], m["first"], m["n"]) for m in marks}:
-        mask = masks.get(m[:2], (1 << m[2]) - 1)
-        for k in range(m[2]):
-            if mask >> k & 1:
-                step[m[1] + k] += 1
-                step[m[1] + k + window] -= 1
+    np.add.at(step, at, 1)
+    np.add.at(step, at + window, -1)
     return np.cumsum(step[:n]) > 0
 
 
