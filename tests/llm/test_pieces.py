@@ -63,7 +63,8 @@ def unigram(splits=True):
         if p.type == P.NORMAL:
             p.score = -(4 + len(p.piece)) - (i * 2654435761 % 4096) / 1024
     v = P.Vocabulary([(p.piece, p.score, p.type) for p in model.pieces], P.UNIGRAM)
-    v.splits = splits
+    if not splits:
+        v.together[:] = True  # one search over the whole text
     return P.Tokenizer(v), sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
 
 

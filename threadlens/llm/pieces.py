@@ -16,17 +16,16 @@ is bounded by the window and not by the text.
   sentencepiece library). Runs of white space, whose pieces all have one rank,
   are merged leftmost first, as the library does.
 
-Where no piece goes on from a letter into a white-space mark (true of the usual
-vocabularies, checked on loading), all paths meet at every such boundary. Text
-between two of them is a search of its own, and the ids of short ones are
-remembered in a bounded table. The vocabulary is a file of fixed size; it is
+Between two characters that stand side by side in no piece (a letter before a
+white-space mark, most letters beside punctuation) no edge passes, so all paths
+meet there. The text between two such places is a search of its own, and the
+ids of short ones are remembered in a bounded table. The vocabulary is a file of fixed size; it is
 read on the driver, from a path that is a parameter, and broadcast.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -41,15 +40,21 @@ PIECES_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: What an unknown character costs below the lowest score of a unigram model (fixed value of the format).
 UNKNOWN_PENALTY = 10.0
-_CHUNKS = re.compile(f"{SPACE}+[^{SPACE}]*")
+#: Neighbouring characters are looked up in a table below this code point; others are taken to stand together.
+_TABLE = 0x250
 #: Remembered are chunks of at most so many characters, and so many of them; what was used since the last time the
 #: table was full stays for the next.
-_SHORT, _MEMORY = 48, 200_000
+_SHORT, _MEMORY = 48, 300_000
 _NEVER = float("inf")
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
+def _place(char: str) -> int:
+    """Row of a character in the table of neighbours; the mark stands at the blank's."""
+    return 32 if char == SPACE else ord(char) if ord(char) < _TABLE else 0
+
+
 class Vocabulary:
     """The pieces of a model file. Other models than unigram and BPE, and user
     defined symbols, are refused."""
@@ -66,9 +71,15 @@ class Vocabulary:
         self.unknown = next((i for i, t in enumerate(self.types) if t == UNKNOWN), 0)
         self.longest = max(map(len, self.ids), default=1)
         self.unknown_score = min((self.scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
-        self.splits = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        self.together = np.ones((_TABLE, _TABLE), bool)  # row and column 0: any other character
+        self.together[1:, 1:] = False
+        self.longest_by_end: dict[str, int] = {}
+        for p in self.ids:
+            for a, b in zip(p, p[1:]):
+                self.together[_place(a), _place(b)] = True
+            self.longest_by_end[p[-2:]] = max(len(p), self.longest_by_end.get(p[-2:], 1))
         #: white-space pieces of one rank: their runs are merged, not searched
-        self.tied = kind == BPE and self.splits
+        self.tied = kind == BPE and not any(SPACE in p.lstrip(SPACE) for p in self.ids)
 
     @classmethod
     def load(cls, path: str = PIECES_PATH) -> Vocabulary:
@@ -92,8 +103,8 @@ class Tokenizer:
         self.fits: dict[tuple[int, int], bool] = {}
         self.old_fits: dict[tuple[int, int], bool] = {}
         self.cost = {p: -vocabulary.scores[i] for p, i in vocabulary.ids.items()}.get
-        self.short: dict[str, tuple[int, ...]] = {}
-        self.old_short: dict[str, tuple[int, ...]] = {}
+        self.short: dict[str, bytes] = {}
+        self.old_short: dict[str, bytes] = {}
         self.surface = [p.replace(SPACE, " ") for p in vocabulary.pieces]
         self.surface[vocabulary.unknown] = " ⁇ "
         for i, t in enumerate(vocabulary.types):
@@ -104,31 +115,36 @@ class Tokenizer:
     # ---- encoding
 
     def encode(self, text: str) -> list[int]:
+        return self.encode_array(text).tolist()
+
+    def encode_array(self, text: str) -> np.ndarray:
         if not text:
-            return []
-        marked = (SPACE if self.v.dummy_prefix else "") + text.replace(" ", SPACE)
-        if not self.v.splits:
-            return list(self.stream(marked))
-        chunks = _CHUNKS.findall(marked)
-        head = len(marked) - sum(map(len, chunks))
-        found = [self.short.get(c) or self._chunk(c) for c in chunks]
-        if head:
-            found.insert(0, self._chunk(marked[:head]))
-        return list(chain.from_iterable(found))
-
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
+            return np.zeros(0, np.int32)
+        if self.v.dummy_prefix:
+            text = " " + text
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        places = np.where(points < _TABLE, points, np.where(points == ord(SPACE), 32, 0))
+        cuts = (np.flatnonzero(~self.v.together[places[:-1], places[1:]]) + 1).tolist()
+        chunks = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+        known = self.short
+        return np.frombuffer(b"".join([known.get(c) or self._chunk(c) for c in chunks]), np.int32)
+
+    def _chunk(self, chunk: str) -> bytes:
+        """The ids of a chunk, four bytes each."""
         ids = self.old_short.get(chunk)
-        if ids is not None:
-            pass
-        elif self.v.tied and chunk.startswith(SPACE * 2):
-            ids = tuple(self._run(chunk))
-        elif self.v.kind == BPE and len(chunk) <= _SHORT:
-            ids = tuple(self._short_bpe(chunk))
-        else:
-            ids = tuple(self.stream(chunk))
+        if ids is None:
+            marked = chunk.replace(" ", SPACE)
+            if self.v.tied and marked.startswith(SPACE * 2):
+                found = self._run(marked)
+            elif self.v.kind == BPE and len(chunk) <= _SHORT:
+                found = self._short_bpe(marked)
+            else:
+                found = self.stream(marked)
+            ids = np.fromiter(found, np.int32).tobytes()
         if len(chunk) <= _SHORT:
             if len(self.short) >= _MEMORY:
-                self.old_short, self.short = self.short, {}
+                self.old_short = dict(self.short)
+                self.short.clear()
             self.short[chunk] = ids
         return ids
 
@@ -147,10 +163,10 @@ class Tokenizer:
 
     def _short_bpe(self, text: str) -> list[int]:
         """``stream`` for a text within one window: the same edges in two lists."""
-        get, fits, longest = self.v.ids.get, self.fits, self.v.longest
+        get, fits, reach = self.v.ids.get, self.fits, self.v.longest_by_end.get
         start, last = [0], [-1]
         for i in range(1, len(text) + 1):
-            for j in range(max(0, i - longest), i):
+            for j in range(max(0, i - reach(text[max(0, i - 2):i], 1)), i):
                 piece = get(text[j:i])
                 if piece is not None:
                     ok = fits.get((last[j], piece))
@@ -352,9 +368,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_
             made.append(Tokenizer(shared.value))
         ids, back = [], []
         for text in texts(batch.column(at)):
-            found = made[0].encode(text)
-            ids.append(np.array(found, np.int32))
-            back.append(made[0].decode(found) == text)
+            found = made[0].encode_array(text)
+            ids.append(found)
+            back.append(made[0].decode(found.tolist()) == text)
         return {c: batch.column(i) for i, c in enumerate(names)} | {ids_col: _int_lists(ids), check_col: back}
 
     return map_batches(kept, rows, ", ".join([*fields, f"`{ids_col}` array<int>", f"`{check_col}` boolean"]))
