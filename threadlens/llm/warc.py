@@ -135,8 +135,8 @@ def captures_of_pages(pages: DataFrame) -> DataFrame:
     revisit has the page's validators, the second an own ETag on every third
     page, the third a Last-Modified only, which the response lacks on every
     fifth page."""
-    digest = F.md5(F.coalesce("html", F.lit("")))
-    i = F.col("page_id")
+    pages = pages.select("page_id", "url", "html", F.md5(F.coalesce("html", F.lit(""))).alias("page_digest"))
+    digest, i = F.col("page_digest"), F.col("page_id")
     start = F.lit(1_700_000_000) + (i * 7919) % 864_000
     etag, modified = F.concat(F.lit('"'), digest, F.lit('"')), F.concat(F.lit("day "), (i % 28).cast("string"))
 
@@ -160,14 +160,14 @@ def captures_of_pages(pages: DataFrame) -> DataFrame:
                ["Date", F.concat(F.lit("t"), (start + 7200 * (1 + i % 30)).cast("string")), "Server", F.lit("s")], none),
         record(3, start - 1800 + 60 * (i % 59), none, modified, none,
                ["Expires", F.lit("0"), "expires", F.lit("1")], none))
-    return pages.select(F.explode(records).alias("r"), "url", "html", "page_id").select("r.*")
+    return pages.select(F.explode(records).alias("r")).select("r.*")
 
 
 def revisits_query(spark, sf_dir: str) -> DataFrame:
-    """Op 1 over the captures of ``pages``."""
-    from threadlens.llm.common import read
+    """Op 1 over the captures of ``pages``, written once as the table of records."""
+    from threadlens.llm.common import materialize, read
 
-    found = resolve_revisits(captures_of_pages(read(spark, sf_dir, "pages")))
+    found = resolve_revisits(materialize(captures_of_pages(read(spark, sf_dir, "pages")), "captures"))
     entries = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return found.select("record_id", "canonical_url", "captured_at", "outcome", "response_id",
                         F.array_join(entries, ";").alias("headers"), F.sha2("payload", 256).alias("payload_sha256"),
