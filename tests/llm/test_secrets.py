@@ -111,3 +111,19 @@ def test_odd_documents(spark):
     got = S.find_secrets(docs)
     assert got.count() == docs.count() and got.filter(F.size("secret_spans") > 0).count() == 0
     assert S.find_secrets(no_documents(spark)).count() == 0
+
+
+def test_classes_of_ordinary_strings_flag_nothing(spark):
+    rng = random.Random(11)
+    words = ("cache column item data server row list config module view index table user name value key type path file "
+             "node tree map set get update delete query result page block width height style event handler button").split()
+    pick = lambda n: [rng.choice(words) for _ in range(n)]
+    camel = lambda w: w[0] + "".join(x.capitalize() for x in w[1:])
+    strings = {f(pick(k)) + str(rng.randrange(10, 9999)) for f in (camel, "".join) for k in (3, 4) for _ in range(1000)}
+    tested = S.battery(spark.createDataFrame([(x,) for x in strings if len(x) >= 16], "token string")).cache()
+    assert tested.filter("p >= 0.5").count() > 50  # what a cut at 0.5 would flag
+    assert S.random_strings(tested).count() == 0
+    some = ["".join(rng.choice(S.ALPHABETS["hex"]) for _ in range(40)) for _ in range(100)]  # another class is not affected
+    both = tested.union(S.battery(spark.createDataFrame([(x,) for x in some], "token string")))
+    got = {r["token"] for r in S.random_strings(both).collect()}
+    assert got <= set(some) and len(got) >= 90

@@ -11,13 +11,20 @@ string of its inferred alphabet:
 * runs above and below the middle of the alphabet (Wald-Wolfowitz);
 * serial correlation of neighbouring symbol values at lag 1.
 
-Fisher's method combines the three p-values. For random strings the result is
-uniform on (0, 1), for ordinary ones (words, paths, counters) it piles up near
-0. How well the tests tell them apart depends on length and alphabet, so the
-false-discovery control works within classes of both: with m0 estimated from
-the upper half of the p-values (only random strings are there), a threshold t
-flags #(p >= t) strings of which about m0 (1 - t) are random. Each class takes
-the smallest threshold whose estimated share of others is at most ``FDR``.
+Fisher's method combines the three p-values. For random strings the result
+falls off as ``SURVIVAL`` says (near uniform; the tests are weakly dependent),
+for ordinary ones (words, paths, counters) it piles up near 0. How well the
+tests tell them apart depends on length and alphabet, so the false-discovery
+control works within classes of both. Some ordinary strings reach the upper
+half too, but there their p-values still fall: ``ORDINARY_TAIL`` of them or
+fewer reach ``TAIL``, of the random ones SURVIVAL(TAIL) / SURVIVAL(HALF). So
+the shape above ``HALF`` gives the random share of the class. A class whose
+tail is within ``ERRORS`` standard errors of ordinary strings alone flags
+nothing (single strings of a class cannot be told apart by a tail, so small
+classes often flag nothing); one within that of random strings alone counts as
+all random there. A threshold t then flags #(p >= t) strings, of which a known
+number are random, and the class takes the smallest threshold whose estimated
+share of others is at most ``FDR``, or none.
 
 Documents without a span or candidate never enter a shuffle; the rest are
 written once and joined with the flagged strings.
@@ -25,6 +32,8 @@ written once and joined with the flagged strings.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +60,13 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 FDR = 0.1
-THRESHOLDS = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5)
+#: Thresholds on p, each with the share of random strings that reaches it (simulated: 3,000 strings of 16, 24, 40 and 64
+#: symbols of every alphabet; the share at 0.5 is 0.53 to 0.56 in each of them).
+SURVIVAL = {0.001: 0.996, 0.002: 0.994, 0.005: 0.988, 0.01: 0.980, 0.02: 0.966, 0.05: 0.933, 0.1: 0.885, 0.2: 0.800,
+            0.3: 0.717, 0.4: 0.636, 0.5: 0.551, 0.6: 0.458, 0.7: 0.360, 0.8: 0.255, 0.9: 0.135, 0.95: 0.068}
+#: Where the shape of the upper half is read, the share of its ordinary strings beyond TAIL (0.12 to 0.18 in simulated
+#: camelCase, snake_case, slug and path strings of 16 to 23 characters), and standard errors.
+HALF, TAIL, ORDINARY_TAIL, ERRORS = 0.5, 0.8, 0.18, 2.0
 
 
 def base_spans(text: Column) -> Column:
@@ -132,17 +147,23 @@ def battery(tokens: DataFrame, token_col: str = "token") -> DataFrame:
 
 
 def random_strings(tested: DataFrame, fdr: float = FDR) -> DataFrame:
-    """The tokens that their class's threshold keeps."""
+    """The tokens that their class's threshold keeps; a class may have none."""
     low = F.array_max(F.filter(F.array(*[F.lit(x) for x in LENGTHS]), lambda x: x <= F.greatest("n", F.lit(LENGTHS[0]))))
     tested = tested.withColumn("length_class", low)
+    above = {t: F.col(f"above_{i}") for i, t in enumerate(SURVIVAL)}
     sums = tested.groupBy("encoding", "length_class").agg(
-        (F.sum(F.when(F.col("p") >= 0.5, 1).otherwise(0)) * 2).alias("m0"),
-        *[F.sum(F.when(F.col("p") >= t, 1).otherwise(0)).alias(f"above_{i}") for i, t in enumerate(THRESHOLDS)])
-    cut = F.coalesce(*[
-        F.when(F.col(f"above_{i}") - F.col("m0") * (1 - t) <= F.col(f"above_{i}") * fdr, t)
-        for i, t in enumerate(THRESHOLDS)])
+        *[F.sum(F.when(F.col("p") >= t, 1).otherwise(0)).alias(f"above_{i}") for i, t in enumerate(SURVIVAL)])
+    random_tail = SURVIVAL[TAIL] / SURVIVAL[HALF]
+    width = random_tail - ORDINARY_TAIL
+    upper = F.nullif(above[HALF], F.lit(0))  # null: nothing reaches the upper half, nothing is flagged
+    share = (above[TAIL] / upper - ORDINARY_TAIL) / width
+    error = lambda q: ERRORS * math.sqrt(q * (1 - q)) / width / F.sqrt(upper)
+    evident = share > error(ORDINARY_TAIL)
+    share = F.when(share >= 1 - error(random_tail), 1.0).otherwise(share)
+    n_random = share * upper / SURVIVAL[HALF]
+    cut = F.coalesce(*[F.when(above[t] - n_random * reached <= above[t] * fdr, t) for t, reached in SURVIVAL.items()])
     # one row for each encoding and length class: 24 at most
-    cuts = F.broadcast(sums.select("encoding", "length_class", cut.alias("cut")))
+    cuts = F.broadcast(sums.select("encoding", "length_class", F.when(evident, cut).alias("cut")))
     return tested.join(cuts, ["encoding", "length_class"]).filter(F.col("p") >= F.col("cut")).select("token")
 
 
