@@ -127,3 +127,26 @@ def test_classes_of_ordinary_strings_flag_nothing(spark):
     both = tested.union(S.battery(spark.createDataFrame([(x,) for x in some], "token string")))
     got = {r["token"] for r in S.random_strings(both).collect()}
     assert got <= set(some) and len(got) >= 90
+
+
+def test_strings_without_digits_and_with_separators(spark):
+    """Letters only, UUIDs, and prefixed tokens in one letter case reach the battery and are found."""
+    rng = random.Random(5)
+    make = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    hexes = lambda n: make(S.ALPHABETS["hex"], n)
+    letters = S.ALPHABETS["base64"][:52]
+    groups = {"letters": [make(letters, 40) for _ in range(100)],
+              "uuid": ["-".join(hexes(k) for k in (8, 4, 4, 4, 12)) for _ in range(100)],
+              "prefix": ["sk_" + hexes(64) for _ in range(100)],
+              "slack": ["xoxb-123-" + make(S.ALPHABETS["base36"], 24) for _ in range(100)]}
+    odd = ["-" * 20, "_" * 16, "1234-5678-9012-3456", "a-b-c-d-e-f-g-h-i-j", "=" * 20, "1" * 16 + "=", "usr/lib/python3/dist-packages"]
+    texts = [f"a {x} b" for xs in groups.values() for x in xs] + odd
+    got = S.find_secrets(frame(spark, texts)).orderBy("doc_id").collect()
+    for k, (name, xs) in enumerate(groups.items()):
+        spans = [[s for s in r["secret_spans"] if s["kind"] == "random"] for r in got[100 * k:100 * k + 100]]
+        assert sum(len(s) > 0 for s in spans) >= 40, name  # the class's threshold may be as high as 0.5
+        for x, found in zip(xs, spans):
+            assert len(found) <= 1 and all(f"a {x} b"[s["start"]:s["end"]] == s["hit"] for s in found)
+            assert name != "uuid" or all(s["hit"] == x for s in found)
+    tested = S.battery(spark.createDataFrame([(x,) for x in odd], "token string")).collect()
+    assert [(r["token"], r["encoding"]) for r in tested] == [("usr/lib/python3/dist-packages", "base64")]

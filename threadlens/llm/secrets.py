@@ -2,10 +2,16 @@
 
 Three fixed patterns (assignments, access keys, long hex runs) give the base
 spans. The method adds strings that look random: every run of 16 or more
-characters of the usual encodings is a candidate if it has the character
-classes of one of them (hex, base32, base36, base64). Each different candidate
-string, over all documents, goes through three tests against a uniform random
-string of its inferred alphabet:
+characters of the usual encodings (hex, base32, base36, base64) is a candidate,
+with or without digits, and so is every part of 16 or more between '-' and '_'
+(the secret of a prefixed token). In one letter case '-' and '_' are not
+symbols and are left out of the test (UUIDs, prefixed tokens joined); in both
+cases they are the symbols of base64url. A random base32, base36 or base64
+string that happens to hold letters only is uniform over the letters, so these
+are tested against them, in classes of their own. Only strings without a letter have no
+encoding (decimal numbers), nor those with fewer than 16 symbols once joined.
+Each different candidate string, over all documents, goes through three tests
+against a uniform random string of its inferred alphabet:
 
 * chi-squared uniformity of the symbols (Wilson-Hilferty normal score);
 * runs above and below the middle of the alphabet (Wald-Wolfowitz);
@@ -51,6 +57,7 @@ KINDS = ("assign", "access", "hex", "random")
 #: Candidates, and the lower ends of the length classes.
 MIN_CANDIDATE = 16
 CANDIDATE = r"[A-Za-z0-9+/_-]{%d,}+={0,2}" % MIN_CANDIDATE
+PART = r"[A-Za-z0-9+/]{%d,}+={0,2}" % MIN_CANDIDATE
 LENGTHS = (16, 24, 32, 48, 64, 128)
 #: Symbols of each encoding in the order of their values (fixed values).
 ALPHABETS = {
@@ -58,12 +65,15 @@ ALPHABETS = {
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "letters": "abcdefghijklmnopqrstuvwxyz",
+    "both-cases": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
 }
 FDR = 0.1
 #: Thresholds on p, each with the share of random strings that reaches it (simulated: 3,000 strings of 16, 24, 40 and 64
 #: symbols of every alphabet; the share at 0.5 is 0.53 to 0.56 in each of them).
 SURVIVAL = {0.001: 0.996, 0.002: 0.994, 0.005: 0.988, 0.01: 0.980, 0.02: 0.966, 0.05: 0.933, 0.1: 0.885, 0.2: 0.800,
             0.3: 0.717, 0.4: 0.636, 0.5: 0.551, 0.6: 0.458, 0.7: 0.360, 0.8: 0.255, 0.9: 0.135, 0.95: 0.068}
+THRESHOLDS = tuple(SURVIVAL)
 #: Where the shape of the upper half is read, the share of its ordinary strings beyond TAIL (0.12 to 0.18 in simulated
 #: camelCase, snake_case, slug and path strings of 16 to 23 characters), and standard errors.
 HALF, TAIL, ORDINARY_TAIL, ERRORS = 0.5, 0.8, 0.18, 2.0
@@ -82,20 +92,38 @@ def base_spans(text: Column) -> Column:
         F.when(text.rlike("[0-9a-f]{%d}" % MIN_HEX), hexes).otherwise(no_spans()))
 
 
+def joined(token: Column) -> Column:
+    """The token without padding, '-' and '_'."""
+    return F.regexp_replace(token, "[-_]|=+$", "")
+
+
 def encoding_of(token: Column) -> Column:
-    """Name of the inferred encoding, null if the string has the character
-    classes of none (letters only, digits only)."""
-    digit, lower, upper = token.rlike("[0-9]"), token.rlike("[a-z]"), token.rlike("[A-Z]")
-    return (F.when(~digit | ~(lower | upper), F.lit(None).cast("string"))
-            .when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex")
-            .when(token.rlike("^[A-Z2-7]+=*$"), "base32")
-            .when(token.rlike("^([0-9a-z]+|[0-9A-Z]+)$"), "base36")
-            .when(lower & upper, "base64"))
+    """Name of the inferred encoding; null without a letter or with fewer than
+    16 symbols."""
+    lower, upper, body = token.rlike("[a-z]"), token.rlike("[A-Z]"), joined(token)
+    one_case = F.when(body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(body.rlike("^[A-Z2-7]+$"), "base32").when(
+        body.rlike("^([0-9a-z]+|[0-9A-Z]+)$"), "base36")
+    # one letter case without a digit, beyond the six letters of hex
+    one_case = F.when(body.rlike("^[A-Za-z]+$") & body.rlike("[G-Zg-z]"), "letters").otherwise(one_case)
+    return (F.when(~(lower | upper), F.lit(None).cast("string"))
+            .when(lower & upper, F.when(token.rlike("^[A-Za-z]+=*$"), "both-cases").otherwise("base64"))
+            .when(F.length(body) < MIN_CANDIDATE, F.lit(None).cast("string"))
+            .otherwise(F.coalesce(one_case, F.lit("base64"))))
 
 
 def candidates(text: Column) -> Column:
-    found = F.filter(find_spans(text, CANDIDATE, "random"), lambda s: encoding_of(s["hit"]).isNotNull())
-    return F.when(text.rlike("[A-Za-z0-9+/_-]{%d}" % MIN_CANDIDATE), found).otherwise(no_spans())
+    """The candidates, and their parts between '-' and '_' where they have some."""
+    keep = lambda found: F.filter(found, lambda s: encoding_of(s["hit"]).isNotNull())
+    found = find_spans(text, CANDIDATE, "random")
+    parts = F.when(text.rlike("[-_]"), find_spans(text, PART, "random")).otherwise(no_spans())
+    return F.when(text.rlike("[A-Za-z0-9+/_-]{%d}" % MIN_CANDIDATE), keep(F.array_union(found, parts))).otherwise(no_spans())
+
+
+def widest(spans: Column) -> Column:
+    """The spans that lie in no larger one."""
+    size = lambda s: s["end"] - s["start"]
+    return F.filter(spans, lambda s: ~F.exists(
+        spans, lambda o: (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & (size(o) > size(s))))
 
 
 def normal_tail(z: Column) -> Column:
@@ -113,8 +141,9 @@ def battery(tokens: DataFrame, token_col: str = "token") -> DataFrame:
     code = tokens.select(F.col(token_col).alias("token")).withColumn("encoding", encoding_of(F.col("token"))).filter(
         F.col("encoding").isNotNull())
     alphabet = F.create_map(*[F.lit(x) for kv in ALPHABETS.items() for x in kv])[F.col("encoding")]
-    body = F.translate(F.regexp_replace("token", "=+$", ""), "-_", "+/")
-    body = F.when(F.col("encoding").isin("hex", "base36"), F.lower(body)).otherwise(body)
+    body = F.when(F.col("encoding") == "base64", F.translate(F.regexp_replace("token", "=+$", ""), "-_", "+/")).otherwise(
+        joined(F.col("token")))
+    body = F.when(F.col("encoding").isin("hex", "base36", "letters"), F.lower(body)).otherwise(body)
     code = (code.withColumn("alphabet", alphabet).withColumn("body", body)
             .withColumn("k", F.length("alphabet").cast("double")).withColumn("n", F.length("body").cast("double"))
             .withColumn("chars", F.regexp_extract_all("body", F.lit("."), F.lit(0)))
@@ -162,7 +191,7 @@ def random_strings(tested: DataFrame, fdr: float = FDR) -> DataFrame:
     share = F.when(share >= 1 - error(random_tail), 1.0).otherwise(share)
     n_random = share * upper / SURVIVAL[HALF]
     cut = F.coalesce(*[F.when(above[t] - n_random * reached <= above[t] * fdr, t) for t, reached in SURVIVAL.items()])
-    # one row for each encoding and length class: 24 at most
+    # one row for each encoding and length class: 36 at most
     cuts = F.broadcast(sums.select("encoding", "length_class", F.when(evident, cut).alias("cut")))
     return tested.join(cuts, ["encoding", "length_class"]).filter(F.col("p") >= F.col("cut")).select("token")
 
@@ -173,7 +202,8 @@ def find_secrets(docs: DataFrame, text_col: str = "text", fdr: float = FDR) -> D
 
     A null or empty text has no spans. Statistics run over all documents; a
     string counts once however often it occurs, and every occurrence of a
-    flagged string is a span. Repeated rows are rows of their own. Columns
+    flagged string is a span, unless a larger flagged string holds it.
+    Repeated rows are rows of their own. Columns
     named like the ones used here are replaced only if they are
     ``secret_spans``, ``secret_base``, ``secret_cands`` or ``secret_row``.
     """
@@ -187,7 +217,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", fdr: float = FDR) -> D
     tested = materialize(battery(hits.select(F.col("span.hit").alias("token")).distinct()), "secrets-tested")
     flagged = random_strings(tested, fdr)
     more = (hits.join(flagged, F.col("span.hit") == F.col("token")).groupBy("secret_row")
-            .agg(F.collect_list("span").alias("more")))
+            .agg(F.collect_list("span").alias("more")).withColumn("more", widest(F.col("more"))))
     rank = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
     ordered = F.transform(F.array_sort(F.transform(
         F.concat("secret_base", F.coalesce("more", no_spans())),
