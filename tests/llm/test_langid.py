@@ -83,3 +83,13 @@ def test_odd_documents(spark):
     empty = L.fit(no_documents(spark))
     assert empty.predict("some text") == ("und", 0.0)
     assert L.identify(no_documents(spark), model, ["doc_id"]).count() == 0
+
+
+def test_rare_words_and_every_label_are_learnt(spark):
+    name = lambda i: "".join(chr(97 + i // 26 ** k % 26) for k in range(4))
+    rows = [(i, " ".join(map(name, range(100 * i, 100 * i + 100))), "en") for i in range(250)]
+    rows += [(1000 + i, "q" + name(i) * 2, f"l{i:03d}") for i in range(250)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.words) == 25_250 and len(model.langs) == 251
+    assert all(model.predict("q" + name(i) * 2)[0] == f"l{i:03d}" for i in range(250))
+    assert all(model.predict(name(i))[0] == "en" for i in (0, 24_999))

@@ -10,8 +10,10 @@ text's score for a language is the mean over its words; the best mean wins.
 The model is fitted on labelled rows: at most about ``SAMPLE_DOCS`` documents
 for each language (a hash of text and id decides, the rate follows from the
 language's exact number of labelled rows), and keeps the ``MAX_WORDS`` most
-frequent words and ``MAX_GRAMS`` n-grams of each length and language. So its
-size is bounded by parameters and it can be broadcast. Counting runs as a
+frequent words and ``MAX_GRAMS`` n-grams of each length and language. Every
+label is learnt. So its size is bounded by parameters times the number of
+labels and it can be broadcast; it is sparse, an entry holds the languages that
+have it. Counting runs as a
 Spark aggregate; prediction is a map over all rows without a shuffle.
 """
 
@@ -29,18 +31,17 @@ from pyspark.sql import functions as F
 
 from threadlens.llm.common import map_batches, texts
 
-#: Bounds of the fit: labelled documents, kept words and kept n-grams (of each length) per language, languages.
+#: Bounds of the fit: labelled documents, kept words and kept n-grams (of each length) per language.
 SAMPLE_DOCS = 4000
-MAX_WORDS = 20_000
-MAX_GRAMS = 8_000
-MAX_LANGS = 200
+MAX_WORDS = 50_000
+MAX_GRAMS = 20_000
 LONGEST = 5
 #: Score of a word or n-gram in a language that lacks it (negative log10 frequency).
 PENALTY = 7.0
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
-#: Scores of unseen words that a worker remembers, and words scored at once.
-_MEMORY, _BLOCK = 200_000, 50_000
+#: Scores of unseen words that a worker remembers (single numbers; words at most), and words scored at once.
+_NUMBERS, _MEMORY, _BLOCK = 4_000_000, 200_000, 50_000
 
 
 def words_of(text: str) -> list[str]:
@@ -56,46 +57,62 @@ def grams_of(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """``langs`` in ascending order; row i of ``scores`` belongs to the entry
-    with index i of ``words`` or of ``grams`` (by length)."""
+    """``langs`` in ascending order; the entry with index i of ``words`` or of
+    ``grams`` (by length) is in the languages ``at[starts[i]:starts[i + 1]]``,
+    where it scores PENALTY less ``gains`` there."""
 
     langs: list[str]
     words: dict[str, int]
     grams: list[dict[str, int]]
-    scores: np.ndarray
+    starts: np.ndarray
+    at: np.ndarray
+    gains: np.ndarray
     rows: dict[str, int] = field(default_factory=dict)
     table: np.ndarray | None = None
 
+    def _gain(self, entries: list[int]) -> np.ndarray:
+        """Sum of the entries' gains per language."""
+        found = np.asarray(entries, np.int64)
+        first = self.starts[found]
+        sizes = self.starts[found + 1] - first
+        ends = np.cumsum(sizes)
+        places = np.arange(ends[-1]) + np.repeat(first - ends + sizes, sizes)
+        return np.bincount(self.at[places], self.gains[places], len(self.langs))
+
     def backoff(self, word: str) -> np.ndarray:
+        """Gains of an unseen word."""
         for n in range(LONGEST, 0, -1):
             known = self.grams[n]
             at = [known[g] for g in grams_of(word, n) if g in known]
             if at:
-                return self.scores[at].mean(0)
-        return np.full(len(self.langs), PENALTY)
+                return self._gain(at) / len(at)
+        return np.zeros(len(self.langs))
 
     def text_scores(self, text: str) -> np.ndarray | None:
         """Mean score per language (lower is better); None without a letter."""
         words = words_of(text)
         if not words or not self.langs:
             return None
+        room = max(4, min(_MEMORY, _NUMBERS // len(self.langs)))
+        size = min(_BLOCK, room // 4)
         total = np.zeros(len(self.langs))
-        for a in range(0, len(words), _BLOCK):
-            block = words[a:a + _BLOCK]
-            if self.table is None or len(self.rows) - len(self.words) + len(block) > _MEMORY:
-                self.rows = dict(self.words)  # the known words, then the unseen ones as they come
-                self.table = np.concatenate([self.scores, np.empty((_MEMORY, len(self.langs)))])
-            at = list(map(self.rows.get, block))
-            if None in at:
-                at = [self._row(w) if i is None else i for i, w in zip(at, block)]
-            total += self.table[at].sum(0)
-        return total / len(words)
+        for a in range(0, len(words), size):
+            block = words[a:a + size]
+            if self.table is None or len(self.rows) + len(block) > room:
+                self.rows, self.table = {}, np.empty((room, len(self.langs)))
+            known = list(map(self.words.get, block))
+            seen = [i for i in known if i is not None]
+            if seen:
+                total += self._gain(seen)
+            if len(seen) < len(block):
+                total += self.table[[self._row(w) for i, w in zip(known, block) if i is None]].sum(0)
+        return PENALTY - total / len(words)
 
     def _row(self, word: str) -> int:
-        """Row of an unseen word in the table of scores."""
+        """Row of an unseen word in the table of gains."""
         i = self.rows.get(word)
         if i is None:
-            i = self.rows[word] = len(self.scores) + len(self.rows) - len(self.words)
+            i = self.rows[word] = len(self.rows)
             self.table[i] = self.backoff(word)
         return i
 
@@ -120,11 +137,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"),
                            F.xxhash64(F.col(id_col), F.col(text_col)).alias("spread")).filter(
         F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    rates = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample_docs / r["count"])))]) \
-        if sizes else F.lit(None)
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.col("spread") / F.lit(2.0 ** 64) + 0.5
-    sample = labelled.filter(share < (rates[F.col("lang")] if sizes else F.lit(0.0))).select("text", "lang")
+    sample = labelled.join(F.broadcast(sizes), "lang").filter(share < F.lit(float(sample_docs)) / F.col("n")).select("text", "lang")
 
     def counts(batch: pa.RecordBatch) -> dict:
         found: Counter = Counter()
@@ -153,7 +168,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     order, score = rows.column("n").to_numpy(), rows.column("score").to_numpy()
     entries = rows.column("entry").to_pylist()
     tables: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-    at = np.empty(len(entries), np.int64)
+    entry = np.empty(len(entries), np.int64)
     size = 0
     for n in range(LONGEST + 1):  # entries in their own order, whatever the order of the rows
         places = np.flatnonzero(order == n).tolist()
@@ -161,10 +176,11 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
             tables[n][e] = size
             size += 1
         for i in places:
-            at[i] = tables[n][entries[i]]
-    scores = np.full((size, len(langs)), PENALTY)
-    scores[at, lang] = np.minimum(score, PENALTY)
-    return Model(list(langs), tables[0], tables, scores)
+            entry[i] = tables[n][entries[i]]
+    by_entry = np.lexsort((lang, entry))
+    starts = np.searchsorted(entry[by_entry], np.arange(size + 1))
+    gains = np.maximum(PENALTY - score, 0.0)[by_entry]
+    return Model(list(langs), tables[0], tables, starts, lang[by_entry].astype(np.int32), gains)
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
