@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadlens.llm import automata, decontaminate, editprint, langid, licenses, pieces, pseudonyms, secrets, simhash, warc
+from threadlens.llm import automata, decontaminate, editprint, langid, licenses, packing, pieces, pseudonyms, secrets, simhash, tandem, warc
 
 
 def _pipeline(spark, sf_dir):
@@ -22,6 +22,8 @@ QUERIES = {
     "op8_decontaminate": decontaminate.decontaminate_query,
     "op9_pieces": pieces.pieces_query,
     "op10_language_id": langid.langid_query,
+    "op11_best_fit_packing": packing.packing_query,
+    "op13_periodic_runs": tandem.runs_query,
     "pipeline": _pipeline,
 }
 
