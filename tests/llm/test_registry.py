@@ -7,7 +7,7 @@ from threadlens.llm import registry
 
 def test_every_operator_is_registered():
     names = set(entry.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
     assert "pipeline" in names and set(registry.ORACLE) <= set(registry.QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "language ID" and len(corpus_pipeline.STAGES) == 5

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadlens.llm import automata, decontaminate, editprint, langid, licenses, packing, pieces, pseudonyms, secrets, simhash, tandem, warc
+from threadlens.llm import automata, decontaminate, editprint, langid, licenses, packing, pieces, pseudonyms, secrets, simhash, tandem, variants, warc
 
 
 def _pipeline(spark, sf_dir):
@@ -23,6 +23,7 @@ QUERIES = {
     "op9_pieces": pieces.pieces_query,
     "op10_language_id": langid.langid_query,
     "op11_best_fit_packing": packing.packing_query,
+    "op12_spelling_variants": variants.variants_query,
     "op13_periodic_runs": tandem.runs_query,
     "pipeline": _pipeline,
 }
