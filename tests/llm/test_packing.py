@@ -110,6 +110,7 @@ def test_word_by_word_ids_are_the_texts_ids():
     rng = random.Random(6)
     odd = ["İstanbul ΟΔΟΣ ΣΑΣΣ", "é ́x a b c　d\x85e\x1cf", "<|endoftext|>x <|startoftext|>",
            "I'Ll it's 'S we've123 ½Ⅷ", "漢字かな😀👍🏽 ​‍ ﻿", "한 각", "a\r\n\t\x0b\x0cb", ""]
+    odd += ["don't I'LL x's_it've 3rd 42nd (a)[b]{c};'sa''t", "\x1c\x00\x7f a\x1fb", "<|endoftext|", "tail<|ENDOFTEXT|>"]
     marks = "aé́ ̧\t'sS Σς1½<|>\nİ"
     odd += ["".join(rng.choice(marks) for _ in range(40)) for _ in range(300)]
     for t in odd:
@@ -117,6 +118,15 @@ def test_word_by_word_ids_are_the_texts_ids():
         assert np.frombuffer(ids.of(t.encode()), "<u4").tolist() == want, t
 
 
+def test_other_tokenizers_take_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = P.Ids(open(path, encoding="utf-8").read())
+    text = " two  blanks and\nlines  "
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert not ids.by_word and np.frombuffer(ids.of(text.encode()), "<u4").tolist() == want
+    assert P.Ids(open(PATH, encoding="utf-8").read()).by_word
+
+
 def test_small_memory_changes_nothing(monkeypatch):
     text = open(PATH, encoding="utf-8").read()
     want = P.Ids(text).of(LONG[:50_000].encode())

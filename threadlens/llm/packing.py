@@ -20,7 +20,11 @@ its number up in the plan.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,6 +43,17 @@ MAX_TOKENS = 4096
 WEIGHTS = (1.0, 0.01, 0.01)
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
+#: Normaliser and word pattern of the tokenizer file; the words for which it reduces to _PARTS once lower-cased.
+WORD_FRONT = (
+    {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+)
+_PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 #: Words whose ids a task remembers, and words looked up at once.
 MEMORY, BLOCK = 300_000, 50_000
 
@@ -183,32 +198,61 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: Capacity = Cap
     return map_batches(placed, rows, fields).select("row.*", "sequence_id", "offset")
 
 
+class Memory(dict):
+    """Values of ``make``, at most ``MEMORY`` of them remembered."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: bytes) -> bytes:
+        if len(self) >= MEMORY:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
+
+
 class Ids:
-    """Token ids of texts as little-endian 32-bit numbers, word by word: no
-    token and no step of the tokenizer's normaliser reaches over ASCII white
-    space, so a text's ids are those of its words one after the other."""
+    """Token ids of texts as 32-bit numbers, by the tokenizer's library.
+
+    With the front of WORD_FRONT (white space dropped, no token over a word's
+    end) a text's ids are those of its words one after the other, so each
+    different word is encoded once and remembered. A word of ASCII and Latin-1
+    letters is split by the front's own pattern first, which leaves fewer
+    different parts, and these go to the model as they are. Texts that hold a
+    special token, and all texts with any other tokenizer, are encoded whole.
+    """
 
     def __init__(self, tokenizer_json: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.known: dict[bytes, bytes] = {}
+        spec = json.loads(tokenizer_json)
+        self.by_word = (spec["normalizer"], spec["pre_tokenizer"]) == WORD_FRONT
+        self.special = [t["content"].encode() for t in spec["added_tokens"]]
+        self.words, self.parts = Memory(self._word), Memory(self._part)
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level: other bytes from 256 on
+        others = [b for b in range(256) if b not in printable]
+        self.letters = {b: 256 + i for i, b in enumerate(others)}
+        self.merge = self.tokenizer.model.tokenize
 
     def of(self, text: bytes) -> bytes:
-        words, out = text.split(), []
-        for a in range(0, len(words), BLOCK):
-            block = words[a:a + BLOCK]
-            missing = set(block) - self.known.keys()
-            if len(self.known) + len(missing) > MEMORY:
-                self.known.clear()
-                missing = set(block)
-            if missing:
-                missing = list(missing)
-                found = self.tokenizer.encode_batch_fast([w.decode(errors="replace") for w in missing],
-                                                         add_special_tokens=False)
-                self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(missing, found))
-            out.extend(map(self.known.__getitem__, block))
-        return b"".join(out)
+        if not self.by_word or any(s in text for s in self.special):
+            return self._library(text)
+        words = text.split()
+        return b"".join([b"".join(map(self.words.__getitem__, words[a:a + BLOCK])) for a in range(0, len(words), BLOCK)])
+
+    def _word(self, word: bytes) -> bytes:
+        found = _PLAIN.fullmatch(word.decode(errors="replace"))
+        return b"".join(map(self.parts.__getitem__, _PARTS.findall(found[0].lower()))) if found else self._library(word)
+
+    def _part(self, part: str) -> bytes:
+        spelled = part.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.merge(spelled)]).tobytes()
+
+    def _library(self, text: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(text.decode(errors="replace"), add_special_tokens=False).ids).tobytes()
 
 
 def cut_documents(docs: DataFrame, tokenizer_path: str, keep: list[str], text_col: str = "text",
