@@ -132,6 +132,7 @@ def test_small_memory_changes_nothing(monkeypatch):
     want = P.Ids(text).of(LONG[:50_000].encode())
     monkeypatch.setattr(P, "MEMORY", 20)
     monkeypatch.setattr(P, "BLOCK", 10)
+    monkeypatch.setattr(P, "PART", 10)
     assert P.Ids(text).of(LONG[:50_000].encode()) == want
 
 

@@ -52,10 +52,10 @@ WORD_FRONT = (
          "behavior": "Removed", "invert": True},
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
 )
-_PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-#: Words whose ids a task remembers, and words looked up at once.
-MEMORY, BLOCK = 300_000, 50_000
+_OTHER = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿ]")
+_PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^ \t-\ra-zß-öø-ÿ0-9]+")
+#: Words whose ids a task remembers, words looked up and characters searched at once.
+MEMORY, BLOCK, PART = 500_000, 50_000, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -198,6 +198,17 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: Capacity = Cap
     return map_batches(placed, rows, fields).select("row.*", "sequence_id", "offset")
 
 
+def _cuts(text: str) -> list[tuple[int, int]]:
+    """Stretches of about PART characters that end at blanks."""
+    ends = [0]
+    while len(text) - ends[-1] > PART:
+        at = text.find(" ", ends[-1] + PART)
+        if at < 0:
+            break
+        ends.append(at)
+    return list(zip(ends, [*ends[1:], len(text)]))
+
+
 class Memory(dict):
     """Values of ``make``, at most ``MEMORY`` of them remembered."""
 
@@ -217,10 +228,10 @@ class Ids:
 
     With the front of WORD_FRONT (white space dropped, no token over a word's
     end) a text's ids are those of its words one after the other, so each
-    different word is encoded once and remembered. A word of ASCII and Latin-1
-    letters is split by the front's own pattern first, which leaves fewer
-    different parts, and these go to the model as they are. Texts that hold a
-    special token, and all texts with any other tokenizer, are encoded whole.
+    different word is encoded once and remembered. Texts and words of ASCII and
+    Latin-1 letters are split by the front's own pattern first, which leaves
+    fewer different parts, and these go to the model as they are. Texts that
+    hold a special token, and all texts with any other tokenizer, are encoded whole.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -240,15 +251,22 @@ class Ids:
     def of(self, text: bytes) -> bytes:
         if not self.by_word or any(s in text for s in self.special):
             return self._library(text)
-        words = text.split()
+        read = text.decode(errors="replace")
+        if not _OTHER.search(read):
+            return self._plain(read)
+        words = read.split(" ")  # a blank ends a word; other white space stays within
         return b"".join([b"".join(map(self.words.__getitem__, words[a:a + BLOCK])) for a in range(0, len(words), BLOCK)])
 
-    def _word(self, word: bytes) -> bytes:
-        found = _PLAIN.fullmatch(word.decode(errors="replace"))
-        return b"".join(map(self.parts.__getitem__, _PARTS.findall(found[0].lower()))) if found else self._library(word)
+    def _plain(self, text: str) -> bytes:
+        part = self.parts.__getitem__
+        return b"".join([b"".join(map(part, _PARTS.findall(text[a:b].lower()))) for a, b in _cuts(text)])
+
+    def _word(self, word: str) -> bytes:
+        return self._library(word.encode()) if _OTHER.search(word) else self._plain(word)
 
     def _part(self, part: str) -> bytes:
-        spelled = part.encode().decode("latin-1").translate(self.letters)
+        letters = part.isascii() and part.isalpha()
+        spelled = part if letters else part.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.merge(spelled)]).tobytes()
 
     def _library(self, text: bytes) -> bytes:
