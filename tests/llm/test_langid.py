@@ -93,3 +93,13 @@ def test_rare_words_and_every_label_are_learnt(spark):
     assert len(model.words) == 25_250 and len(model.langs) == 251
     assert all(model.predict("q" + name(i) * 2)[0] == f"l{i:03d}" for i in range(250))
     assert all(model.predict(name(i))[0] == "en" for i in (0, 24_999))
+
+
+def test_signs_that_are_no_letters(spark):
+    """Fractions, superscripts and number letters are not letters."""
+    docs = spark.createDataFrame([(i, t, "de" if i % 2 else "en") for i, t in enumerate(
+        ["the cat and the dog", "der Hund und die Katze", "a cat", "ein Hund"])], "doc_id long, text string, lang string")
+    model = L.fit(docs)
+    odd = spark.createDataFrame([(1, "½ ² Ⅷ"), (2, "½"), (3, "12 ③ ٣"), (4, "½ cat")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in L.identify(odd, model, ["doc_id"]).collect()}
+    assert got[1] == got[2] == got[3] == ("und", 0.0) and got[4][0] == "en"

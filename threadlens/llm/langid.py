@@ -19,12 +19,12 @@ Spark aggregate; prediction is a map over all rows without a shuffle.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,7 +39,7 @@ LONGEST = 5
 #: Score of a word or n-gram in a language that lacks it (negative log10 frequency).
 PENALTY = 7.0
 UNDETERMINED = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 #: Scores of unseen words that a worker remembers (single numbers; words at most), and words scored at once.
 _NUMBERS, _MEMORY, _BLOCK = 4_000_000, 200_000, 50_000
 
@@ -188,13 +188,18 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
     these names are replaced). A text that is null, empty or without a letter
     is 'und' with score 0. Prediction sees the text only; every row, repeated
     or not, gets its own result; no rows give no rows."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # plain data: a broadcast of the class would need this package on the executors
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (model.langs, model.words, model.grams, model.starts, model.at, model.gains))
+    made: list[Model] = []
     keep = [c for c in keep if c not in ("lang_pred", "score")]
     kept = docs.select(*keep, F.col(text_col).alias("lang_text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]]
 
     def rows(batch: pa.RecordBatch) -> dict:
-        found = [shared.value.predict(t) for t in texts(batch.column(len(keep)))]
+        if not made:
+            made.append(Model(*shared.value))
+        found = [made[0].predict(t) for t in texts(batch.column(len(keep)))]
         return {c: batch.column(i) for i, c in enumerate(keep)} | {
             "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]}
 

@@ -81,6 +81,14 @@ class Vocabulary:
         #: white-space pieces of one rank: their runs are merged, not searched
         self.tied = kind == BPE and not any(SPACE in p.lstrip(SPACE) for p in self.ids)
 
+    @classmethod
+    def of(cls, state: dict) -> Vocabulary:
+        """From another one's ``vars``, which a broadcast can hand to workers
+        that don't have this package."""
+        made = cls.__new__(cls)
+        vars(made).update(state)
+        return made
+
     @classmethod
     def load(cls, path: str = PIECES_PATH) -> Vocabulary:
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -356,7 +364,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_
     stands for a blank, is the only one that does not come back. Every row,
     repeated or not, is encoded by itself; no rows give no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(vocabulary))
     kept = docs.drop(*[c for c in docs.columns if c in (ids_col, check_col)])
     names = kept.columns
     fields = [f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in names]
@@ -365,7 +373,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_
 
     def rows(batch: pa.RecordBatch) -> dict:
         if not made:
-            made.append(Tokenizer(shared.value))
+            made.append(Tokenizer(Vocabulary.of(shared.value)))
         ids, back = [], []
         for text in texts(batch.column(at)):
             found = made[0].encode_array(text)
@@ -379,7 +387,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_
 def decode(rows_of_ids: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """All columns with the decoded text; null or empty ids give ''. Ids
     outside the vocabulary are an error."""
-    shared = rows_of_ids.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = rows_of_ids.sparkSession.sparkContext.broadcast(vars(vocabulary))
     kept = rows_of_ids.drop(*[c for c in rows_of_ids.columns if c == text_col])
     names = kept.columns
     fields = [f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in names]
@@ -388,7 +396,7 @@ def decode(rows_of_ids: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids",
 
     def rows(batch: pa.RecordBatch) -> dict:
         if not made:
-            made.append(Tokenizer(shared.value))
+            made.append(Tokenizer(Vocabulary.of(shared.value)))
         return {c: batch.column(i) for i, c in enumerate(names)} | {
             text_col: [made[0].decode(x or []) for x in batch.column(at).to_pylist()]}
 
