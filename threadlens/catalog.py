@@ -415,7 +415,7 @@ def q_topic_reduce(spark, d):
 @query
 def q_topic_model(spark, d):
     """Engaged descriptions → TF-IDF → PCA → density clusters chosen
-    over density levels (outliers -1, dropped as M1 does) → at most 6 topics."""
+    over all merge distances (outliers -1, dropped as M1 does) → at most 6 topics."""
     from threadlens.plans.topics import topic_model
 
     c, r, a, _ = _inputs(spark, d, url=False)
@@ -483,10 +483,24 @@ def q_topic_model_embeddings(spark, d):
 
 @query
 def q_density_hierarchy(spark, d):
-    """M6: clusters chosen over density levels by stability."""
+    """M6: clusters chosen over all merge distances by stability, and how
+    firmly each point belongs to its cluster."""
     from threadlens.operators.density import density_hierarchy
 
-    return density_hierarchy(_points(spark, d), MIN_SAMPLES, MIN_CLUSTER_SIZE)
+    return density_hierarchy(_points(spark, d), MIN_SAMPLES, MIN_CLUSTER_SIZE, digits=DIST_DIGITS)
+
+
+@query
+def q_topic_probabilities(spark, d):
+    """M2 with membership strengths: the documents with supplied embeddings,
+    no topic merged, outliers kept."""
+    from threadlens.plans.topics import topic_model
+
+    vectors = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    docs = table(spark, d, "documents").select("doc_id", "text").join(vectors, "doc_id")
+    doc_topic, _ = topic_model(docs, "text", n_topics=docs.count(), clusterer="hierarchy", features="embedding",
+                               keep_outliers=True, probabilities=True, digits=DIST_DIGITS)
+    return doc_topic
 
 
 @query

@@ -240,6 +240,70 @@ comp AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a),
 sizes AS (SELECT component, count(*) AS n FROM comp GROUP BY component)
 SELECT p.id, CAST(CASE WHEN s.n >= 5 THEN c.component ELSE -1 END AS BIGINT) AS cluster
 FROM pts p LEFT JOIN comp c ON p.id = c.id LEFT JOIN sizes s ON c.component = s.component"""
+
+def hierarchy_sql(points: str, min_samples: int, min_size: int, digits: int) -> str:
+    """M6 from all pairs: CTEs that end in hdb (id, cluster, probability), for
+    a relation pts (id, vec) given by ``points``. Prim's order of the points
+    (prim, picked) makes every component at a distance a stretch of places that
+    no larger step interrupts."""
+    return f"""pts AS (SELECT id, vec FROM ({points})),
+dists AS (SELECT a.id, b.id AS other, list_distance(a.vec, b.vec) AS distance FROM pts a JOIN pts b ON a.id <> b.id),
+core AS (SELECT id, distance AS core FROM dists
+         QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, other) = {min_samples}),
+reach AS MATERIALIZED (SELECT d.id AS a, d.other AS b, round(greatest(d.distance, x.core, y.core), {digits}) AS w
+         FROM dists d JOIN core x ON d.id = x.id JOIN core y ON d.other = y.id),
+prim(step, i, best, pick, pick_w) AS (
+  SELECT 1, b, w, first_value(b) OVER o, first_value(w) OVER o FROM reach WHERE a = (SELECT min(id) FROM core)
+  WINDOW o AS (ORDER BY w, b)
+  UNION ALL
+  SELECT step, i, best, first_value(i) OVER o, first_value(best) OVER o FROM (
+    SELECT p.step + 1 AS step, p.i, least(p.best, r.w) AS best FROM prim p JOIN reach r ON r.a = p.pick AND r.b = p.i
+    WHERE p.i <> p.pick) WINDOW o AS (ORDER BY best, i)),
+picked AS MATERIALIZED (SELECT 0 AS pos, min(id) AS id, CAST(NULL AS DOUBLE) AS w FROM core
+  UNION ALL SELECT DISTINCT step, pick, pick_w FROM prim),
+least_w AS (SELECT coalesce(min(w) FILTER (w > 0), 1.0) AS floor_w, max(pos) AS last FROM picked),
+stretches AS MATERIALIZED (SELECT DISTINCT k.w, coalesce(max(j.pos) FILTER (j.pos < k.pos), 0) AS l,
+    coalesce(min(j.pos) FILTER (j.pos > k.pos) - 1, any_value(last)) AS r
+  FROM picked k CROSS JOIN least_w LEFT JOIN picked j ON j.w > k.w WHERE k.w IS NOT NULL GROUP BY k.pos, k.w),
+nodes AS MATERIALIZED (SELECT row_number() OVER (ORDER BY r - l, l) AS n, l, r, w, r - l + 1 AS size,
+    CAST(round(1000000.0 / greatest(w, floor_w)) AS BIGINT) AS lam FROM stretches, least_w WHERE r - l + 1 >= {min_size}),
+up AS MATERIALIZED (SELECT c.n, min(p.n) AS p FROM nodes c JOIN nodes p ON p.l <= c.l AND p.r >= c.r AND p.size > c.size GROUP BY c.n),
+kids AS (SELECT p AS n, count(*) AS k, sum(size) AS inner_size FROM up JOIN nodes USING (n) GROUP BY p),
+heads AS MATERIALIZED (SELECT row_number() OVER (ORDER BY n) AS h, n, l, r, size, p, coalesce(b.lam, 0) AS born
+  FROM nodes LEFT JOIN up USING (n) LEFT JOIN (SELECT n AS p, k FROM kids) q USING (p)
+  LEFT JOIN (SELECT n AS p, lam FROM nodes) b USING (p) WHERE p IS NULL OR q.k >= 2),
+head_of AS MATERIALIZED (SELECT x.n, min(h) AS h FROM nodes x JOIN heads y ON y.l <= x.l AND y.r >= x.r GROUP BY x.n),
+left_at AS (SELECT h, sum((size - coalesce(inner_size, 0)) * lam) AS s, max(lam) AS largest
+  FROM nodes JOIN head_of USING (n) LEFT JOIN kids USING (n) GROUP BY h),
+passed AS (SELECT o.h, sum(y.size * y.born) AS s, list(y.h) AS below FROM heads y JOIN head_of o ON o.n = y.p GROUP BY o.h),
+tree AS MATERIALIZED (SELECT heads.h, l, r, largest, coalesce(below, []) AS below, CAST(CASE WHEN p IS NULL THEN 0 ELSE
+    greatest(0, left_at.s + coalesce(passed.s, 0) - size * born) END AS BIGINT) AS own
+  FROM heads JOIN left_at ON left_at.h = heads.h LEFT JOIN passed ON passed.h = heads.h),
+mass(h, best, keep) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BOOLEAN[])
+  UNION ALL
+  SELECT h, list_append(best, greatest(own, below_sum)), list_append(keep, own > 0 AND own >= below_sum) FROM (
+    SELECT t.h, m.best, m.keep, t.own, CAST(coalesce(list_sum(list_select(m.best, t.below)), 0) AS BIGINT) AS below_sum
+    FROM mass m JOIN tree t ON t.h = m.h + 1)),
+kept AS (SELECT t.* FROM tree t, (SELECT keep FROM mass ORDER BY h DESC LIMIT 1) m WHERE m.keep[t.h]),
+places AS (SELECT pos, id, min(n) AS n FROM picked JOIN nodes ON pos BETWEEN l AND r GROUP BY pos, id),
+chosen AS (SELECT p.id, p.n, max(k.h) AS h FROM places p JOIN kept k ON p.pos BETWEEN k.l AND k.r GROUP BY p.id, p.n),
+names AS (SELECT h, largest, min(id) AS cluster FROM kept JOIN picked ON pos BETWEEN l AND r GROUP BY h, largest),
+hdb AS (SELECT pts.id, coalesce(cluster, -1) AS cluster, coalesce(least(lam, largest) / largest, 0.0) AS probability
+  FROM pts LEFT JOIN chosen USING (id) LEFT JOIN nodes USING (n) LEFT JOIN names ON names.h = chosen.h)"""
+
+
+ORACLE["density_hierarchy"] = f"""WITH RECURSIVE {hierarchy_sql(
+    "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings", 5, 5, 6)}
+SELECT id, CAST(cluster AS BIGINT) AS cluster, probability FROM hdb"""
+_EMBEDDED = "SELECT text, min(embedding) AS vec FROM documents JOIN embeddings ON vec_id = doc_id GROUP BY text"
+ORACLE["topic_probabilities"] = f"""WITH RECURSIVE {hierarchy_sql(
+    f"SELECT row_number() OVER (ORDER BY text) AS id, CAST(vec AS DOUBLE[]) AS vec FROM ({_EMBEDDED})", 5, 5, 6)},
+texts AS (SELECT row_number() OVER (ORDER BY text) AS id, text FROM ({_EMBEDDED})),
+sized AS (SELECT cluster, row_number() OVER (ORDER BY count(*) DESC, min(text)) - 1 AS topic
+  FROM hdb JOIN texts USING (id) WHERE cluster <> -1 GROUP BY cluster)
+SELECT CAST(coalesce(topic, -1) AS INTEGER) AS Topic, text AS Document_description, probability
+FROM hdb JOIN texts USING (id) LEFT JOIN sized USING (cluster)"""
 ORACLE["join_embeddings"] = """SELECT d.doc_id, d.lang, e.embedding, e.label
 FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id"""
 ORACLE["embed_documents"] = r"""
