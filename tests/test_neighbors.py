@@ -89,7 +89,7 @@ def test_density_hierarchy_recovers_planted(spark):
     from threadlens.operators.density import density_hierarchy
 
     X, df = _planted(spark)
-    labels = dict(density_hierarchy(df, min_samples=5, min_cluster_size=5, **SMALL).collect())
+    labels = dict(density_hierarchy(df, min_samples=5, min_cluster_size=5, **SMALL).select("id", "cluster").collect())
     found = [{labels[i] for i in range(c * 30, (c + 1) * 30)} for c in range(4)]
     main = [max(s, key=lambda x: sum(1 for i in range(c * 30, (c + 1) * 30) if labels[i] == x))
             for c, s in enumerate(found)]
