@@ -284,19 +284,19 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, keep: list[str], text_co
     null; no rows give no rows."""
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
-        shared = spark.sparkContext.broadcast(f.read())
+        shared = spark.sparkContext.broadcast({"json": f.read()})
     keep = [c for c in keep if c not in ("piece", "start", "length", "ids_crc32")]
     kept = docs.select(*keep, F.col(text_col).alias("packing_text"))
     end = np.array([end_id], "<u4").tobytes()
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]]
-    made: list[Ids] = []
 
     def rows(batch: pa.RecordBatch) -> dict:
-        if not made:
-            made.append(Ids(shared.value))
+        held = shared.value  # a worker's own copy: what its Ids remember serves its next tasks
+        if "ids" not in held:
+            held["ids"] = Ids(held["json"])
         owner, piece, start, length, crc = [], [], [], [], []
         for i, text in enumerate(text_bytes(batch.column(len(keep)))):
-            ids = made[0].of(text) + end
+            ids = held["ids"].of(text) + end
             for k, a in enumerate(range(0, len(ids) // 4, max_tokens)):
                 part = ids[4 * a:4 * (a + max_tokens)]
                 owner.append(i)

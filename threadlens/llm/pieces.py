@@ -348,6 +348,14 @@ class Tokenizer:
         return text[1:] if self.v.dummy_prefix and text.startswith(" ") else text
 
 
+def _of_worker(state: dict) -> Tokenizer:
+    """The tokenizer of this Python worker: kept beside its copy of the
+    broadcast vocabulary, so what it remembers serves the worker's next tasks."""
+    if "tokenizer" not in state:
+        state["tokenizer"] = Tokenizer(Vocabulary.of(state))
+    return state["tokenizer"]
+
+
 def _int_lists(lists: list) -> pa.Array:
     ends = np.cumsum([0, *map(len, lists)], dtype=np.int64)
     flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
@@ -364,21 +372,19 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_
     stands for a blank, is the only one that does not come back. Every row,
     repeated or not, is encoded by itself; no rows give no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vars(vocabulary))
+    shared = docs.sparkSession.sparkContext.broadcast(dict(vars(vocabulary)))
     kept = docs.drop(*[c for c in docs.columns if c in (ids_col, check_col)])
     names = kept.columns
     fields = [f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in names]
     at = names.index(text_col)
-    made: list[Tokenizer] = []
 
     def rows(batch: pa.RecordBatch) -> dict:
-        if not made:
-            made.append(Tokenizer(Vocabulary.of(shared.value)))
+        tokenizer = _of_worker(shared.value)
         ids, back = [], []
         for text in texts(batch.column(at)):
-            found = made[0].encode_array(text)
+            found = tokenizer.encode_array(text)
             ids.append(found)
-            back.append(made[0].decode(found.tolist()) == text)
+            back.append(tokenizer.decode(found.tolist()) == text)
         return {c: batch.column(i) for i, c in enumerate(names)} | {ids_col: _int_lists(ids), check_col: back}
 
     return map_batches(kept, rows, ", ".join([*fields, f"`{ids_col}` array<int>", f"`{check_col}` boolean"]))
@@ -387,18 +393,16 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_
 def decode(rows_of_ids: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """All columns with the decoded text; null or empty ids give ''. Ids
     outside the vocabulary are an error."""
-    shared = rows_of_ids.sparkSession.sparkContext.broadcast(vars(vocabulary))
+    shared = rows_of_ids.sparkSession.sparkContext.broadcast(dict(vars(vocabulary)))
     kept = rows_of_ids.drop(*[c for c in rows_of_ids.columns if c == text_col])
     names = kept.columns
     fields = [f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in names]
     at = names.index(ids_col)
-    made: list[Tokenizer] = []
 
     def rows(batch: pa.RecordBatch) -> dict:
-        if not made:
-            made.append(Tokenizer(Vocabulary.of(shared.value)))
+        tokenizer = _of_worker(shared.value)
         return {c: batch.column(i) for i, c in enumerate(names)} | {
-            text_col: [made[0].decode(x or []) for x in batch.column(at).to_pylist()]}
+            text_col: [tokenizer.decode(x or []) for x in batch.column(at).to_pylist()]}
 
     return map_batches(kept, rows, ", ".join([*fields, f"`{text_col}` string"]))
 
