@@ -52,3 +52,42 @@ def test_events_are_read_once(spark, name, monkeypatch):
     plan = executed(QUERIES[name](spark, SF_SMALL))
     assert not scans(plan, "events")
     assert writes.count("events") == (1 if name == "dedupe_keep_first" else 2)  # comments, and history
+
+
+def _texts_shuffled_unfiltered(plan):
+    """Exchanges above a scan of article texts that no semi join has filtered."""
+    lines = plan.split("\n")
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    bad = []
+    for n, line in enumerate(lines):
+        if "FileScan" not in line or "/documents.parquet" not in line or "text" not in line:
+            continue
+        at = depth(line)
+        for above in reversed(lines[:n]):
+            if depth(above) >= at:
+                continue
+            at = depth(above)
+            if "LeftSemi" in above:
+                break
+            if "Exchange" in above:
+                bad.append(above.strip())
+    return bad
+
+
+@pytest.mark.parametrize("name", ["top_comments", "hec_wide", "topic_report"])
+def test_only_texts_of_kept_articles_are_shuffled(spark, name):
+    plan = executed(QUERIES[name](spark, SF_SMALL))
+    assert scans(plan, "documents")
+    assert not _texts_shuffled_unfiltered(plan)
+
+
+def test_the_whole_compiled_table_shuffles_all_texts(spark):
+    """What the test above looks for is found where every article is wanted."""
+    assert _texts_shuffled_unfiltered(executed(QUERIES["compile_engagement"](spark, SF_SMALL)))
+
+
+def test_coverage_joins_digests(spark):
+    plan = executed(QUERIES["topic_coverage"](spark, SF_SMALL))
+    joins = [x for x in plan.split("\n") if "Join" in x]
+    # the fixture joins its labels by id; the operator joins digests, once
+    assert sum("__key" in x for x in joins) == 1 and not any("escription" in x or "text" in x for x in joins)

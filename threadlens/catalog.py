@@ -357,6 +357,8 @@ MIN_CLUSTER_SIZE = 5
 # Own parameters: density level of the fixed-eps query, digits of distances.
 DENSITY_EPS = 1.18
 DIST_DIGITS = 6
+# Own parameter: recall that neighbour descent has to reach.
+DESCENT_RECALL = 0.95
 
 
 def _points(spark, d):
@@ -379,6 +381,34 @@ def q_core_distance(spark, d):
     return core.select("id", F.round("core", DIST_DIGITS).alias("core"))
 
 
+@query
+def q_knn_descent(spark, d):
+    """M3 approximate: the neighbours that descent finds for all points."""
+    from threadlens.operators.descent import neighbor_descent
+
+    nn = neighbor_descent(_points(spark, d), MIN_SAMPLES)
+    return nn.select("id", "neighbor_id", F.round("distance", DIST_DIGITS).alias("distance"), "rank")
+
+
+@query
+def q_knn_descent_recall(spark, d):
+    """M3: recall of descent against the exact search, over all given vectors
+    and over the embedded texts of all documents."""
+    from threadlens.operators.descent import neighbor_descent, recall
+    from threadlens.operators.features import embed
+    from threadlens.operators.neighbors import knn
+
+    docs = embed(table(spark, d, "documents").select("doc_id", "text"), "text").select(
+        F.col("doc_id").alias("id"), F.col("embedding").alias("vec"))
+    out = None
+    for name, points in (("embeddings", _points(spark, d)), ("documents", docs)):
+        points = materialize(points, "recall-points")
+        row = recall(neighbor_descent(points, MIN_SAMPLES), knn(points, MIN_SAMPLES), MIN_SAMPLES)
+        row = row.select(F.lit(name).alias("source"), "links", (F.col("recall") >= DESCENT_RECALL).alias("reached"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query
 def q_density_clusters(spark, d):
     from threadlens.operators.density import density_clusters

@@ -230,6 +230,9 @@ ORACLE["knn"] = f"""WITH {PAIRS}
 SELECT id, neighbor_id, round(distance, 6) AS distance, "rank" FROM nn WHERE "rank" <= 5"""
 ORACLE["core_distance"] = f"""WITH {PAIRS}
 SELECT id, round(distance, 6) AS core FROM nn WHERE "rank" = 5"""
+ORACLE["knn_descent_recall"] = """
+SELECT 'embeddings' AS source, 5 * count(*) AS links, TRUE AS reached FROM embeddings
+UNION ALL SELECT 'documents', 5 * count(*), TRUE FROM documents"""
 ORACLE["density_clusters"] = f"""WITH RECURSIVE {PAIRS},
 core_pts AS (SELECT id FROM nn WHERE "rank" = 5 AND distance <= 1.18),
 links AS (SELECT d.id AS a, d.neighbor_id AS b FROM dists d

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.operators.joins import positional_align
+from threadlens.plans.engagement import text_key
 
 
 def compare_models(main: DataFrame, other: DataFrame,
@@ -19,14 +20,17 @@ def compare_models(main: DataFrame, other: DataFrame,
 
 def topic_coverage(doc_topics: dict[str, DataFrame], articles: DataFrame) -> DataFrame:
     """Per model, how many article rows get a topic (doc_topic RIGHT JOIN
-    articles, rows without nulls, counted)."""
-    parts = []
+    articles, rows without nulls, counted).
+
+    Articles are counted by the digest of their text, then joined once with
+    the digests of all models; a model without a match has a row of 0."""
+    counted = articles.select(text_key("description").alias("__key")).groupBy("__key").agg(F.count(F.lit(1)).alias("__n"))
+    models = None
     for name, dt in doc_topics.items():
-        j = dt.join(articles, dt.Document_description == articles.description, "right")
-        n = j.filter(F.col("Topic").isNotNull() & F.col("Document_description").isNotNull())
-        parts.append(n.agg(F.count(F.lit(1)).alias("n_articles_with_topic"))
-                     .select(F.lit(name).alias("model"), "n_articles_with_topic"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        found = dt.filter(F.col("Topic").isNotNull()).select(
+            text_key("Document_description").alias("__key"), F.lit(name).alias("__model"))
+        models = found if models is None else models.unionByName(found)
+    n_of = lambda name: F.coalesce(F.sum(F.when(F.col("__model") == name, F.col("__n"))), F.lit(0))
+    sums = counted.join(models, "__key").agg(F.array(*[
+        F.struct(F.lit(name).alias("model"), n_of(name).alias("n_articles_with_topic")) for name in doc_topics]).alias("rows"))
+    return sums.select(F.inline("rows"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from threadlens.functions.clean import clean_count, not_blocked, topic_or_outlier
 from threadlens.operators.joins import join_keys, join_on
+from threadlens.sources.sinks import materialize
 
 # Column order of the compiled table (fixed: the report's layout).
 COMPILED_COLS = ["title", "description", "published_date", "canonical_url", "thumbnail_url",
@@ -136,16 +137,27 @@ def compile_keys(comments: DataFrame, reactions: DataFrame, articles: DataFrame,
         for c in KEY_COLS])
 
 
-def with_articles(rows: DataFrame, articles: DataFrame) -> DataFrame:
-    """Rows of ``compile_keys``, or some of them, with their article's columns, in report order."""
-    found = with_article_key(articles).drop("title", "conversation_id").dropDuplicates(["article_key"])
+def _complete(rows: DataFrame, keyed: DataFrame) -> DataFrame:
+    found = keyed.drop("title", "conversation_id").dropDuplicates(["article_key"])
     return rows.join(found, "article_key").select(*COMPILED_COLS)
 
 
+def with_articles(rows: DataFrame, articles: DataFrame) -> DataFrame:
+    """Some rows of ``compile_keys`` with their article's columns, in report order.
+
+    The rows (no text) are written first, so their keys have a known size:
+    where it is small the articles are filtered before any shuffle, and only
+    the texts of kept articles travel."""
+    rows = materialize(rows, "kept-rows")
+    kept = articles.join(rows.select("conversation_id").distinct(), "conversation_id", "left_semi")
+    keyed = with_article_key(kept.select(*articles.columns))
+    return _complete(rows, keyed.join(rows.select("article_key").distinct(), "article_key", "left_semi"))
+
+
 def compile_engagement(comments: DataFrame, reactions: DataFrame, articles: DataFrame,
                        doc_topic: DataFrame) -> DataFrame:
     """Rows with a topic (>= 0), counts cleaned, 15 columns in report order."""
-    return with_articles(compile_keys(comments, reactions, articles, doc_topic), articles)
+    return _complete(compile_keys(comments, reactions, articles, doc_topic), with_article_key(articles))
 
 
 def compile_engagement_outer(comments: DataFrame, reactions: DataFrame, articles: DataFrame,
