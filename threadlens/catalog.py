@@ -14,6 +14,7 @@ from threadlens.operators.joins import key_overlap
 from threadlens.plans import compare, engagement as E, report as R, users as U
 from threadlens.session import scratch_path
 from threadlens.sources import fixtures as FX
+from threadlens.sources.buckets import append_bucketed, load_user_counts, user_counts_of_loads
 from threadlens.sources.readers import read_cols, read_doc_topic, union_sheets
 from threadlens.sources.sinks import materialize, read_topic_sheets, write_table, write_topic_sheets
 from threadlens.sources.tables import ARTICLE_COLS, COMMENT_COLS, table
@@ -89,6 +90,23 @@ def q_distinct_counts(spark, d):
     return c.unionByName(a)
 
 
+@query
+def q_distinct_counts_by_month(spark, d):
+    """A1 mergeable: sketches of each day written, then merged by month; the
+    estimate must be within three standard errors of the exact count."""
+    comments = FX.comments(spark, d).withColumn("day", F.substring("written_date", 1, 10))
+    columns = ["conversation_id", "author_id"]
+    path = write_table(Q.distinct_sketches(comments, ["day"], columns), scratch_path(spark, "day_sketches"))
+    month = F.substring("day", 1, 7).alias("month")
+    stored = spark.read.schema("day string, column_name string, sketch binary").parquet(path)
+    merged = Q.merged_distinct(stored.select(month, "column_name", "sketch"), ["month"])
+    exact = comments.groupBy(month).agg(*[F.count_distinct(c).alias(c) for c in columns])
+    exact = exact.unpivot(["month"], columns, "column_name", "n_exact")
+    near = F.abs(F.col("n_distinct") - F.col("n_exact")) <= 3 * Q.SKETCH_ERROR * F.col("n_exact")
+    return exact.join(merged, ["month", "column_name"], "left").select(
+        "month", "column_name", "n_exact", F.coalesce(near, F.lit(False)).alias("within_error"))
+
+
 @query
 def q_clean_counts(spark, d):
     return E.clean_reaction_counts(FX.reactions(spark, d))
@@ -118,6 +136,29 @@ def q_reactions_right_join(spark, d):
     return E.reactions_right_join(FX.open_comments(spark, d), FX.reactions(spark, d))
 
 
+def _buckets(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _bucketed_messages(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Comments and reactions as hand-offs bucketed by message id."""
+    n = _buckets(spark)
+    return (append_bucketed(FX.comments(spark, d), scratch_path(spark, "comments"), ["conv_message_id"], n),
+            append_bucketed(FX.reactions(spark, d), scratch_path(spark, "reactions"), ["message_id"], n))
+
+
+@query
+def q_bucketed_left_join(spark, d):
+    """J1 on bucketed hand-offs: the join itself shuffles nothing."""
+    return E.comments_reactions_left(*_bucketed_messages(spark, d))
+
+
+@query
+def q_bucketed_right_join(spark, d):
+    """J3 on bucketed hand-offs: the join itself shuffles nothing."""
+    return E.reactions_right_join(*_bucketed_messages(spark, d))
+
+
 @query
 def q_description_topic_join(spark, d):
     return E.description_topic_join(FX.articles(spark, d), FX.doc_topic(spark, d))
@@ -292,6 +333,13 @@ def q_user_conversation_counts(spark, d):
     return U.user_conversation_counts(FX.comments_history(spark, d))
 
 
+@query
+def q_bucketed_user_counts(spark, d):
+    """A5 from the counts of loads, a bucketed hand-off (here one load)."""
+    loads = load_user_counts(FX.comments_history(spark, d), scratch_path(spark, "user_counts"), _buckets(spark))
+    return user_counts_of_loads(loads)
+
+
 @query
 def q_top_conversations(spark, d):
     return U.top_conversations(FX.comments_history(spark, d))
@@ -348,6 +396,14 @@ def q_topic_info(spark, d):
     return topic_info(FX.doc_topic(spark, d))
 
 
+@query
+def q_representative_documents(spark, d):
+    """M9: the three documents of each topic that are most like it."""
+    from threadlens.operators.terms import representative_docs
+
+    return representative_docs(FX.doc_topic(spark, d))
+
+
 # ---- neighbours and density clusters ----------------------------------------
 
 # Fixed values (the reference's density settings): neighbours for the core
@@ -434,6 +490,19 @@ def q_embed_documents(spark, d):
     return embed(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "embedding")
 
 
+@query
+def q_embed_documents_stored(spark, d):
+    """F1 with a caller's function and a store: first the documents that have a
+    supplied vector, then all, of which only texts not yet stored are embedded."""
+    from threadlens.operators.embedding_store import embed_stored, hashed_bag
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    path = scratch_path(spark, "embedding_store")
+    first = docs.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
+    embed_stored(first, "text", path, "hashed-bag", hashed_bag)
+    return embed_stored(docs, "text", path, "hashed-bag", hashed_bag).select("doc_id", "embedding", "embedding_error")
+
+
 @query
 def q_topic_reduce(spark, d):
     """M8 on the given doc_topic: merge to at most six topics besides -1."""

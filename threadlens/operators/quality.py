@@ -22,6 +22,28 @@ def approx_distinct_counts(df: DataFrame, columns: list[str], rsd: float = 0.01)
     return _long(row, columns, "n_distinct")
 
 
+#: Own parameter: 2^14 registers a sketch (at most 16 KB), and the relative
+#: standard error of HyperLogLog with that number, 1.04 / sqrt(2^14) = 0.8%.
+SKETCH_LG_K = 14
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_LG_K / 2)
+
+
+def distinct_sketches(df: DataFrame, by: list[str], columns: list[str], lg_k: int = SKETCH_LG_K) -> DataFrame:
+    """A1 in mergeable form: (by..., column_name, sketch) of the non-null values
+    of each column. Text and whole-number columns. Stored by day, say, they
+    give the distinct count of any set of days without the rows; a day that is
+    stored twice counts once, as a union does."""
+    rows = df.groupBy(*by).agg(*[F.hll_sketch_agg(F.col(c), lg_k).alias(c) for c in columns])
+    return rows.unpivot(by, columns, "column_name", "sketch")
+
+
+def merged_distinct(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., column_name, n_distinct): estimates from the union of the stored
+    sketches of each group (standard error ``SKETCH_ERROR``)."""
+    union = sketches.groupBy(*by, "column_name").agg(F.hll_union_agg("sketch").alias("sketch"))
+    return union.select(*by, "column_name", F.hll_sketch_estimate("sketch").alias("n_distinct"))
+
+
 def blocked_count(comments: DataFrame, state_col: str = "final_state") -> DataFrame:
     """A2: number of blocked comments and of all comments."""
     return comments.agg(

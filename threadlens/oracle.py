@@ -90,6 +90,9 @@ _q("distinct_counts", ["comments", "articles"], """
 SELECT 'comments' AS source, 'conversation_id' AS column_name, count(DISTINCT conversation_id) AS n_distinct FROM comments
 UNION ALL SELECT 'articles', 'title', count(DISTINCT title) FROM articles
 UNION ALL SELECT 'articles', 'description', count(DISTINCT description) FROM articles""")
+_q("distinct_counts_by_month", ["comments"], "\nUNION ALL ".join(
+    f"""SELECT substr(written_date, 1, 7) AS month, '{c}' AS column_name, count(DISTINCT {c}) AS n_exact,
+  TRUE AS within_error FROM comments GROUP BY substr(written_date, 1, 7)""" for c in ("conversation_id", "author_id")))
 _q("clean_counts", ["reactions"], f"""SELECT message_id, {_COUNT.format(c='total_views')} AS total_views,
   {_COUNT.format(c='total_likes')} AS total_likes FROM reactions""")
 
@@ -106,6 +109,8 @@ LEFT JOIN articles a ON a.conversation_id = c.conversation_id
 WHERE r.message_id IS NOT NULL AND a.conversation_id IS NOT NULL""", [COMMENTS_NB])
 _q("reactions_right_join", ["comments", "reactions"], """
 SELECT c.*, r.* FROM comments_nb c RIGHT JOIN reactions r ON c.conv_message_id = r.message_id""", [COMMENTS_NB])
+ORACLE["bucketed_left_join"] = ORACLE["comments_reactions_left"]
+ORACLE["bucketed_right_join"] = ORACLE["reactions_right_join"]
 _q("description_topic_join", ["articles", "doc_topic"], """
 SELECT a.*, dt.Topic, dt.Document_description FROM articles a
 LEFT JOIN doc_topic dt ON a.description = dt.Document_description""")
@@ -172,6 +177,7 @@ BEST = """per_user AS (
 USERS = BASE + ["comments_history"]
 
 _q("user_conversation_counts", ["comments_history"], "SELECT * FROM counts", [COUNTS])
+ORACLE["bucketed_user_counts"] = ORACLE["user_conversation_counts"]
 _q("top_conversations", ["comments_history"],
    'SELECT * FROM counts ORDER BY "count" DESC, user_id, conversation_id', [COUNTS])
 _q("user_conversation_rank", ["comments_history"], "SELECT * FROM ranked", [COUNTS, RANKED])
@@ -217,6 +223,23 @@ LEFT JOIN (SELECT Topic, string_agg(term, '_' ORDER BY "rank") AS words FROM ran
   USING (Topic)
 WHERE c.Count > 0 AND c.Topic <> -1""", CTFIDF)
 
+_q("representative_documents", ["doc_topic"], """
+SELECT Topic, "rank", Document_description, score FROM (
+  SELECT Topic, Document_description, score, CAST(row_number() OVER (PARTITION BY Topic ORDER BY score DESC,
+         sha256(Document_description)) AS INTEGER) AS "rank"
+  FROM (SELECT d.Topic, Document_description, round(coalesce(dot / (norm * topic_norm), 0.0), 6) AS score
+        FROM doc_topic d LEFT JOIN doc_sums USING (Document_description) LEFT JOIN topic_norms ON topic_norms.Topic = d.Topic
+        WHERE d.Topic <> -1 AND Document_description IS NOT NULL)) WHERE "rank" <= 3""", CTFIDF[:5] + [
+    """full_weights AS (SELECT tf.Topic, tf.term, ln(1 + CAST(tt2.avg_tokens AS DOUBLE) / wt.n_term) AS idf,
+  (CAST(tf.tf AS DOUBLE) / tt2.n_topic) * ln(1 + CAST(tt2.avg_tokens AS DOUBLE) / wt.n_term) AS w
+  FROM tf JOIN tt2 USING (Topic) JOIN wt USING (term))""",
+    "topic_norms AS (SELECT Topic, sqrt(sum(w * w)) AS topic_norm FROM full_weights GROUP BY Topic)",
+    r"""doc_terms AS (SELECT Topic, Document_description, term, count(*) AS n FROM (
+    SELECT Topic, Document_description, unnest(string_split_regex(lower(Document_description), '[^\p{L}\p{N}]+')) AS term
+    FROM doc_topic) WHERE length(term) >= 2 GROUP BY Topic, Document_description, term)""",
+    """doc_sums AS (SELECT Document_description, sum(n * idf * w) AS dot, sqrt(sum((n * idf) * (n * idf))) AS norm
+  FROM doc_terms JOIN full_weights USING (Topic, term) GROUP BY Document_description)"""])
+
 ORACLE["topic_summary_scan"] = ORACLE["topic_info"]
 
 # ---- neighbours and density clusters --------------------------------------------
@@ -321,6 +344,8 @@ n AS (SELECT doc_id, sqrt(CAST(sum(s * s) AS DOUBLE)) AS norm FROM g GROUP BY do
 SELECT doc_id, list(CAST(CASE WHEN norm > 0 THEN s / norm ELSE 0 END AS FLOAT) ORDER BY i) AS embedding
 FROM g JOIN n USING (doc_id) GROUP BY doc_id"""
 
+ORACLE["embed_documents_stored"] = f"SELECT *, CAST(NULL AS VARCHAR) AS embedding_error FROM ({ORACLE['embed_documents']})"
+
 
 def _reduce_sql(merges: int, n_topics: int) -> str:
     """M8 with its rounds written out: ``merges`` of them, each only while
