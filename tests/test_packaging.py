@@ -19,9 +19,10 @@ def test_python_tasks_run_outside_the_repo(tmp_path):
         import __spark_entry__ as e
         q = e.queries()
         print("ROWS", q["knn"](spark, "/root/testdata/sf0.001").count(),
-              q["embed_documents"](spark, "/root/testdata/sf0.001").count())
+              q["embed_documents_stored"](spark, "/root/testdata/sf0.001").count(),
+              q["kmeans_clusters"](spark, "/root/testdata/sf0.001").count())
     """))
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, str(script)], cwd=str(tmp_path), env=env,
                          capture_output=True, text=True, timeout=600)
-    assert "ROWS 2500 200" in out.stdout, out.stderr[-3000:]
+    assert "ROWS 2500 200 500" in out.stdout, out.stderr[-3000:]

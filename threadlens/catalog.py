@@ -413,6 +413,9 @@ MIN_CLUSTER_SIZE = 5
 # Own parameters: density level of the fixed-eps query, digits of distances.
 DENSITY_EPS = 1.18
 DIST_DIGITS = 6
+# Own parameters of the k-means query: clusters and rounds.
+KMEANS_K = 6
+KMEANS_ROUNDS = 5
 # Own parameter: recall that neighbour descent has to reach.
 DESCENT_RECALL = 0.95
 
@@ -472,6 +475,17 @@ def q_density_clusters(spark, d):
     return density_clusters(_points(spark, d), DENSITY_EPS, MIN_SAMPLES, MIN_CLUSTER_SIZE)
 
 
+@query
+def q_kmeans_clusters(spark, d):
+    """k-means of all given vectors, six clusters, at most five rounds."""
+    from threadlens.operators.kmeans import dense_points, exact_kmeans, fixed_point
+
+    vectors = table(spark, d, "embeddings")
+    points = fixed_point(dense_points(vectors, "vec_id", "embedding", F.col("vec_id").cast("string")), "at", "vec")
+    width = vectors.agg(F.max(F.size("embedding")).alias("w")).first()["w"]
+    return exact_kmeans(materialize(points, "kmeans-points"), KMEANS_K, width, KMEANS_ROUNDS)
+
+
 # ---- features and topic model -----------------------------------------------
 
 @query

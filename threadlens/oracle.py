@@ -347,6 +347,40 @@ FROM g JOIN n USING (doc_id) GROUP BY doc_id"""
 ORACLE["embed_documents_stored"] = f"SELECT *, CAST(NULL AS VARCHAR) AS embedding_error FROM ({ORACLE['embed_documents']})"
 
 
+def _kmeans_sql(k: int, rounds: int) -> str:
+    """k-means in whole numbers with its seeds and rounds written out (a round
+    in which no centre moves changes nothing, so ending early is the same)."""
+    ctes = ["""raw AS (SELECT vec_id AS id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS f FROM embeddings)""",
+            """pts AS MATERIALIZED (SELECT id, f, CAST(floor(CAST(x AS DOUBLE) * s + 0.5) AS BIGINT) AS x FROM raw,
+  (SELECT power(2, 20 - ceil(log2(max(abs(CAST(x AS DOUBLE)))))) AS s FROM raw))"""]
+
+    def u(i):
+        return f"(CAST('0x' || substr(md5('{i}:' || id), 1, 8) AS BIGINT) + 1.0) / 4294967296.0"
+
+    for i in range(k):
+        if i == 0:
+            time = f"SELECT id, -ln({u(i)}) AS t FROM (SELECT DISTINCT id FROM pts)"
+        else:
+            far = " UNION ALL ".join(f"SELECT p.id, sum((p.x - c.x) * (p.x - c.x)) AS d FROM pts p JOIN pts c USING (f), "
+                                     f"seed{j} WHERE c.id = seed{j}.id GROUP BY p.id" for j in range(i))
+            time = (f"SELECT id, -ln({u(i)}) / CAST(d AS DOUBLE) AS t FROM (SELECT id, min(d) AS d FROM ({far}) GROUP BY id) "
+                    "WHERE d > 0")
+        ctes.append(f"seed{i} AS MATERIALIZED (SELECT id FROM ({time}) ORDER BY t, CAST(id AS VARCHAR) LIMIT 1)")
+    ctes.append("c0 AS MATERIALIZED (" + " UNION ALL ".join(
+        f"SELECT {i} AS label, f, x FROM pts JOIN seed{i} USING (id)" for i in range(k)) + ")")
+    for r in range(rounds + 1):
+        ctes.append(f"""a{r} AS MATERIALIZED (SELECT id, label FROM (
+  SELECT p.id, c.label, sum((p.x - c.x) * (p.x - c.x)) AS d FROM pts p JOIN c{r} c USING (f) GROUP BY p.id, c.label)
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, label) = 1)""")
+        ctes.append(f"""c{r + 1} AS MATERIALIZED (SELECT c.label, c.f, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (
+  SELECT label, f, CAST(floor(CAST(2 * sum(x) + count(*) AS DOUBLE) / (2 * count(*))) AS BIGINT) AS x
+  FROM pts JOIN a{r} USING (id) GROUP BY label, f) m USING (label, f))""")
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT id, CAST(label AS INTEGER) AS label FROM a{rounds}"
+
+
+ORACLE["kmeans_clusters"] = _kmeans_sql(k=6, rounds=5)
+
+
 def _reduce_sql(merges: int, n_topics: int) -> str:
     """M8 with its rounds written out: ``merges`` of them, each only while
     more than ``n_topics`` topics remain."""
