@@ -34,25 +34,49 @@ def fill(layout, digits):
 
 def slow_pseudonym(hit):
     if re.fullmatch(P.SHAPES["date"], hit):
-        iso = hit[4] == "-"
-        parts = hit.split("-") if iso else re.split("[./]", hit)[::-1]
+        word = re.search("[A-Z][a-z]+", hit)
+        numbers = re.findall("[0-9]+", hit)
+        if hit[4:5] == "-":
+            order, (y, m, d) = "{y}-{m:02d}-{d:02d}", map(int, numbers)
+        elif word:
+            d, y = map(int, numbers)
+            m = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"].index(word[0][:3]) + 1
+            order = "{w} {d:02d}, {y}" if "," in hit else "{w} {d:02d} {y}" if word.start() == 0 else "{d:02d} {w} {y}"
+        elif "/" in hit and int(numbers[1]) > 12:
+            order, (m, d, y) = "{m:02d}/{d:02d}/{y}", map(int, numbers)
+        else:
+            mark = "/" if "/" in hit else "."
+            order, (d, m, y) = f"{{d:02d}}{mark}{{m:02d}}{mark}{{y}}", map(int, numbers)
+        if any(len(x) == 1 for x in numbers):
+            order = order.replace(":02d", "")
         try:
-            day = datetime.date(*map(int, parts))
+            day = datetime.date(y, m, d)
         except ValueError:
             return None, hit
         zero = datetime.date(1900, 1, 1)
         hi, lo = slow_feistel("date", (day - zero).days // 4297, (day - zero).days % 4297, 17, 4297)
         new = zero + datetime.timedelta(hi * 4297 + lo)
-        return "date", new.isoformat() if iso else new.strftime(f"%d{hit[2]}%m{hit[2]}%Y")
+        return "date", order.format(y=new.year, m=new.month, d=new.day,
+                                    w=word and new.strftime("%b" if len(word[0]) == 3 else "%B"))
     if re.fullmatch(P.SHAPES["ipv4"], hit):
         o = list(map(int, hit.split(".")))
         hi, lo = slow_feistel("ipv4", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
         return "ipv4", f"{hi // 256}.{hi % 256}.{lo // 256}.{lo % 256}"
     digits = re.sub("[^0-9]", "", hit)
     if re.fullmatch(P.SHAPES["phone"], hit):
+        if hit[0] == "+" and hit[1] != "1":
+            n = len(digits) - 2
+            if not 8 <= n + 2 <= 15:
+                return None, hit
+            u = n // 2
+            hi, lo = slow_feistel(f"phone+{digits[:2]}{n + 2}", int(digits[2:2 + u]), int(digits[2 + u:]), 10 ** u, 10 ** (n - u))
+            return "phone", fill(hit, f"{digits[:2]}{hi:0{u}d}{lo:0{n - u}d}")
         code, d = digits[:-10], digits[-10:]
-        hi, lo = slow_feistel("phone", int(d[:3]) - 200, (int(d[3:6]) - 200) * 10000 + int(d[6:]), 800, 8000000)
-        return "phone", fill(hit, f"{code}{hi + 200}{lo // 10000 + 200}{lo % 10000:04d}")
+        low = int(d[:3]) < 200
+        first, areas = (0, 200) if low else (200, 800)
+        hi, lo = slow_feistel("phone0" if low else "phone", int(d[:3]) - first, (int(d[3:6]) - 200) * 10000 + int(d[6:]),
+                              areas, 8000000)
+        return "phone", fill(hit, f"{code}{hi + first:03d}{lo // 10000 + 200}{lo % 10000:04d}")
     if re.fullmatch(P.SHAPES["ssn"], hit):
         area, group, serial = map(int, hit.split("-"))
         if not (1 <= area <= 899 and area != 666 and group and serial):
@@ -83,6 +107,10 @@ def slow_text(text):
 CASES = ["born 1999-12-31, 31.12.1999 or 31/12/1999; not 30.02.2001, 2001-02-30", "4111 1111 1111 1111, 4111111111111112",
          "ssn 078-05-1120 666-12-1234 900-12-1234 667-01-0001", "tel (212) 555-0199 +1 212-555-0199 1 212.555.0199 (112) 555-0199",
          "1.2.3.4.5 ip 10.0.0.1. (255.255.255.255) 256.1.1.1 01.2.3.4", "3782 822463 10005 6011111111111117 30569309025904",
+         "due 3/5/2024 03/25/2024 25/03/2024 3.5.2024 12/31/1999 2/30/2024 31/4/2024 13/13/2024 2024-3-5",
+         "on 25 March 2024, March 25, 2024, Mar 5 2024, 5 Mar 2024, 30 February 2001, May 1, 2010 and 1 June 1999; Mars 1 2000",
+         "call +44 20 7946 0958, +49 (30) 901820, +33.1.42.68.53.00, +442079460958, +44 1234, +1 (012) 555-0199, +1 112-555-0199",
+         "(152) 555-8590 112-555-0199 +1 (999) 999-9999 +999999999999999999",
          "ü4111111111111111é 4111111111111111x", "4111111111111111 4111111111111111", None, "", "no value"]
 
 
@@ -122,6 +150,20 @@ def test_pseudonyms_validate_and_stay_linked(spark):
     assert all(r["text"] == f"{r['pii'][0]['new']} x {r['pii'][0]['new']}" for r in rows)
 
 
+def test_equal_values_stay_linked_across_layouts(spark):
+    days = ["2024-03-25", "25.03.2024", "25.3.2024", "03/25/2024", "25/03/2024", "25 March 2024", "Mar 25, 2024"]
+    phones = ["+44 20 7946 0958", "+442079460958", "+44 (20) 7946-0958"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(days + phones)], "doc_id long, text string")
+    new = {r["doc_id"]: r["text"] for r in P.pseudonymise(docs, KEY).collect()}
+    day = datetime.date.fromisoformat(new[0])
+    assert day != datetime.date(2024, 3, 25)
+    assert [new[i] for i in range(1, len(days))] == [
+        day.strftime("%d.%m.%Y"), f"{day.day}.{day.month}.{day.year}", day.strftime("%m/%d/%Y"),
+        day.strftime("%d/%m/%Y"), day.strftime("%d %B %Y"), day.strftime("%b %d, %Y")]
+    numbers = {re.sub("[^0-9]", "", new[len(days) + i]) for i in range(3)}
+    assert len(numbers) == 1 and numbers != {"442079460958"}
+
+
 def test_odd_documents(spark):
     docs = odd_documents(spark, extra="pii string, kind string, hit string")
     got = P.pseudonymise(docs, KEY)

@@ -1,9 +1,20 @@
 """Format-preserving pseudonyms for numbers and dates, in DataFrame functions only.
 
-Payment cards (Luhn), North American phone numbers, US social security
-numbers, IPv4 addresses and dates are found in the text, validated, and mapped
-by a keyed Feistel network to another valid value of the same format and
-layout. The network works on pairs (l, r) of Z_a x Z_b with a x b exactly the
+Payment cards (Luhn), phone numbers, US social security numbers, IPv4 addresses
+and dates are found in the text, validated, and mapped by a keyed Feistel
+network to another valid value of the same format and layout.
+
+Dates: year-month-day; day.month.year; day/month/year, and month/day/year where
+the second part is above 12 (where both can be months the day comes first, so
+an American date of the first twelve days is read as a European one); and
+English written months, whole or of three letters. Days and months may have one
+digit, except after a year. Phones: North American ones; with (area) or +1 also
+those whose area code begins with 0 or 1; and + with a country code other than
+1, 8 to 15 digits in all, whose first two stay. Not covered: years outside 1900
+to 2099, two-digit years, months in capitals or other languages, international
+phones without +, local phones without an area code, IPv6.
+
+ The network works on pairs (l, r) of Z_a x Z_b with a x b exactly the
 number of values of the format, and adds a keyed hash of one half to the other
 modulo its size, so it is a permutation: equal values stay equal in all
 documents, different ones stay different, and nobody without the key can tell
@@ -21,12 +32,19 @@ ROUNDS = 10
 _EDGE = r"(?<![0-9A-Za-z])(?<![0-9][.])"
 _END = r"(?![0-9A-Za-z])"
 _YEAR, _MONTH, _DAY = "(?:19|20)[0-9]{2}", "(?:0[1-9]|1[0-2])", "(?:0[1-9]|[12][0-9]|3[01])"
+_DAY1, _MONTH1 = "(?:0?[1-9]|[12][0-9]|3[01])", "(?:0?[1-9]|1[0-2])"
+_NAME = ("(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:tember)?|"
+         "Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)")
+_MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 #: Shapes; what has one is validated further by ``_pseudonym``. Of two shapes at one place the first counts.
 SHAPES = {
-    "date": f"{_YEAR}-{_MONTH}-{_DAY}|{_DAY}[.]{_MONTH}[.]{_YEAR}|{_DAY}/{_MONTH}/{_YEAR}",
+    "date": (f"{_YEAR}-{_MONTH}-{_DAY}|{_DAY1}[.]{_MONTH1}[.]{_YEAR}|{_DAY1}/{_MONTH1}/{_YEAR}|{_MONTH1}/{_DAY1}/{_YEAR}"
+             f"|{_DAY1} {_NAME} {_YEAR}|{_NAME} {_DAY1},? {_YEAR}"),
     "ipv4": f"{_OCTET}(?:[.]{_OCTET}){{3}}(?![.][0-9])",
-    "phone": r"(?:[+]?1[ .-]?)?(?:[(][2-9][0-9]{2}[)] ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}",
+    "phone": ("(?:[+]?1[ .-]?)?(?:[(][0-9]{3}[)] ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}"
+              "|[+]1[ .-]?[01][0-9]{2}[ .-][2-9][0-9]{2}[ .-][0-9]{4}"
+              "|[+][2-9][0-9]{0,2}(?:[ .-]?(?:[(][0-9]{1,4}[)]|[0-9]{1,4})){2,5}"),
     "ssn": "[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "card": "[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}",
 }
@@ -98,14 +116,25 @@ def _card(hit: Column, key: str) -> tuple[Column, Column]:
 
 def _phone(hit: Column, key: str) -> tuple[Column, Column]:
     digits = F.regexp_replace(hit, "[^0-9]", "")
+    abroad = hit.rlike("^[+][2-9]")
     code = F.when(F.length(digits) == 11, "1").otherwise("")
     d = F.substring(digits, -10, 10)
-    moved = feistel(key, F.lit("phone"), _number(d, 1, 3) - 200, (_number(d, 4, 3) - 200) * 10_000 + _number(d, 7, 4),
-                    F.lit(800), F.lit(8_000_000))
+    # area codes from 200 on, and those below, are formats of their own
+    low = F.substring(d, 1, 1) < "2"
+    first, areas = F.when(low, 0).otherwise(200), F.when(low, 200).otherwise(800)
+    moved = feistel(key, F.when(low, "phone0").otherwise("phone"), _number(d, 1, 3) - first,
+                    (_number(d, 4, 3) - 200) * 10_000 + _number(d, 7, 4), areas, F.lit(8_000_000))
     new = F.transform(F.array(moved), lambda m: _in_layout(hit, F.concat(
-        code, (m["l"] + 200).cast("string"), (F.floor(m["r"] / 10_000) + 200).cast("string"),
+        code, _padded(m["l"] + first, 3), (F.floor(m["r"] / 10_000) + 200).cast("string"),
         _padded(m["r"] % 10_000, 4))))
-    return F.lit(True), new[0]
+    n = F.length(digits) - 2
+    u = F.floor(n / 2).cast("int")
+    ten = lambda k: F.pow(F.lit(10.0), k).cast("long")
+    other = feistel(key, F.concat(F.lit("phone+"), F.substring(digits, 1, 2), F.length(digits).cast("string")),
+                    _number(digits, 3, u), _number(digits, u + 3, n - u), ten(u), ten(n - u))
+    world = F.transform(F.array(other), lambda m: _in_layout(hit, F.concat(
+        F.substring(digits, 1, 2), _padded(m["l"], u), _padded(m["r"], n - u))))
+    return ~abroad | F.length(digits).between(8, 15), F.when(abroad, world[0]).otherwise(new[0])
 
 
 def _ssn(hit: Column, key: str) -> tuple[Column, Column]:
@@ -128,17 +157,37 @@ def _ipv4(hit: Column, key: str) -> tuple[Column, Column]:
 
 
 def _date(hit: Column, key: str) -> tuple[Column, Column]:
-    iso = hit.rlike("^[0-9]{4}-")
-    mark = F.substring(hit, 3, 1)
-    text = F.when(iso, hit).otherwise(F.concat_ws("-", F.substring(hit, 7, 4), F.substring(hit, 4, 2), F.substring(hit, 1, 2)))
+    iso, name = hit.rlike("^[0-9]{4}-"), F.regexp_extract(hit, "[A-Z][a-z]+", 0)
+    part = lambda i: F.get(F.split(hit, "[-./]"), F.lit(i))
+    month_first = hit.contains("/") & (part(1).try_cast("int") > 12)
+    month = F.array_position(F.array(*map(F.lit, _MONTHS)), F.substring(name, 1, 3)).cast("string")
+    two = lambda c: F.lpad(c, 2, "0")
+    text = (F.when(iso, hit)
+            .when(name != "", F.concat_ws("-", F.regexp_extract(hit, "[0-9]{4}", 0), two(month),
+                                          two(F.regexp_extract(hit, "(?<![0-9])[0-9]{1,2}(?![0-9])", 0))))
+            .when(month_first, F.concat_ws("-", part(2), two(part(0)), two(part(1))))
+            .otherwise(F.concat_ws("-", part(2), two(part(1)), two(part(0)))))
     day = F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date")
     zero = F.lit("1900-01-01").cast("date")
     n = F.datediff(day, zero)
     moved = feistel(key, F.lit("date"), F.floor(n / _DATES[1]), n % _DATES[1], F.lit(_DATES[0]), F.lit(_DATES[1]))
     new = F.transform(F.array(moved), lambda m: F.date_add(zero, (m["l"] * _DATES[1] + m["r"]).cast("int")))
-    shown = F.transform(new, lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).otherwise(
-        F.concat(F.date_format(d, "dd"), mark, F.date_format(d, "MM"), mark, F.date_format(d, "yyyy"))))
-    return day.isNotNull(), shown[0]
+    short = hit.rlike("^[0-9][^0-9]|[/. ][0-9](?![0-9])")  # a part of one digit: no part is padded
+
+    def shown(d: Column) -> Column:
+        year = F.year(d).cast("string")
+        width = F.when(short, 1).otherwise(2)
+        number = lambda c: F.lpad(c.cast("string"), F.greatest(width, F.length(c.cast("string"))), "0")
+        dd, mm = number(F.dayofmonth(d)), number(F.month(d))
+        word = F.when(F.length(name) == 3, F.date_format(d, "MMM")).otherwise(F.date_format(d, "MMMM"))
+        mark = F.regexp_extract(hit, "[./]", 0)
+        return (F.when(iso, F.date_format(d, "yyyy-MM-dd"))
+                .when(hit.rlike("^[A-Z]"), F.concat(word, F.lit(" "), dd, F.when(hit.contains(","), ", ").otherwise(" "), year))
+                .when(name != "", F.concat_ws(" ", dd, word, year))
+                .when(month_first, F.concat(mm, mark, dd, mark, year))
+                .otherwise(F.concat(dd, mark, mm, mark, year)))
+
+    return day.isNotNull(), F.transform(new, shown)[0]
 
 
 _KINDS = {"date": _date, "ipv4": _ipv4, "phone": _phone, "ssn": _ssn, "card": _card}
